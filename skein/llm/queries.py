@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality_model, quality_rules, secret_scan
+from . import jaccard, langid, packing, quality_model, quality_rules, secret_scan
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit_languages(docs))
@@ -33,7 +37,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op6_packing, op9_language_id, op10_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op6_packing, op8_jaccard_join, op9_language_id, op10_quality_classifier)
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force, round trips and held-out rows.
