@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, packing, quality_model, quality_rules, secret_scan
+from . import decontam, html_text, jaccard, langid, packing, quality_model, quality_rules, secret_scan
 from .shared import table
 
 
@@ -14,10 +14,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_pages(pages, html_text.fit_weights(pages))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,7 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op6_packing, op8_jaccard_join, op9_language_id, op10_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op3_html_text, op4_quality_rules, op5_benchmark_leaks, op6_packing, op8_jaccard_join, op9_language_id, op10_quality_classifier)
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force, round trips and held-out rows.
