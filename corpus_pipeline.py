@@ -1,10 +1,15 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read again as the next stage's
+documents. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import packing, quality_rules
+from skein.llm import decontam, jaccard, line_dedup, packing, quality_rules
 from skein.llm.shared import materialize
 
 
@@ -13,12 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus; those of which nothing is left go."""
+    out = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences."""
+    """Pieces of the documents in sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality", quality), ("packing", pack)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

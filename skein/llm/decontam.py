@@ -7,7 +7,6 @@ around each hit the whole item is verified with Myers' bit-parallel distance. Ca
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,13 +20,11 @@ CHARS_PER_EDIT = 16
 #: Most characters of the items that are searched for at once; larger benchmarks take more passes.
 BLOCK_CHARS = 4_000_000
 
-_GAP = re.compile(r"[\x20\x09-\x0D]+")
-_LOW = {c: c + 32 for c in range(65, 91)}
-
 
 def level(text: str) -> str:
     """A-Z lowered, each run of white space one space, trimmed."""
-    return _GAP.sub(" ", text.translate(_LOW)).strip(" ")
+    # bytes know A-Z and ASCII white space only, which are never part of another character
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()).decode("utf-8", "surrogatepass")
 
 
 def places(text: str) -> list[int]:

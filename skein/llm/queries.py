@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, langid, packing, quality_model, quality_rules, secret_scan
+from . import decontam, html_text, jaccard, langid, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
 from .shared import table
 
 
@@ -14,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract_pages(pages, html_text.fit_weights(pages))
@@ -31,6 +36,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_html_text, op4_quality_rules, op5_benchmark_leaks, op6_packing, op8_jaccard_join, op9_language_id, op10_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_html_text, op4_quality_rules, op5_benchmark_leaks, op6_packing, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_quality_classifier)
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force, round trips and held-out rows.
