@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diffusion, graphs, metrics, prepare
+from ..operators import clustering, diffusion, graphs, metrics, prepare, walks
 from ..sources import results
 from ..sources.labels import Labels
 from ..sources.tables import normalize_columns
@@ -119,7 +119,7 @@ def plain_member(spark, d):
 
 def _model(spark, d):
     """A raw extractor model from the fixture's dependencies, one cell for each pair of parts."""
-    files = fx.files(spark, d).where("part_id % 3 = 0")
+    files = fx.files(spark, d)
     pairs = fx.deps(spark, d)
     known = files.select("File", (F.col("part_id")).alias("pid"))
     rows = pairs.join(known.select(F.col("File").alias("Source_File"), F.col("pid").alias("s")), "Source_File").join(known.select(F.col("File").alias("Target_File"), F.col("pid").alias("t")), "Target_File")
@@ -130,7 +130,7 @@ def _model(spark, d):
     return cells.select(F.array().cast("array<string>").alias("variables"), F.array(F.struct(F.col("s").alias("src"), F.col("t").alias("dest"), "values", "details")).alias("cells")), files
 
 
-_SUB = "f3 as (select File, part_id from fx_files where part_id % 3 = 0), d3 as (select d.*, x.part_id s, y.part_id t from fx_deps d join f3 x on x.File = d.Source_File join f3 y on y.File = d.Target_File)"
+_SUB = "f3 as (select File, part_id from fx_files), d3 as (select d.*, x.part_id s, y.part_id t from fx_deps d join f3 x on x.File = d.Source_File join f3 y on y.File = d.Target_File)"
 
 
 @query(f"""with {_SUB}, own as (select File, 'file' as Member_Type, regexp_extract(File, '([^/]*)\\.java$', 1) as Member_Name, replace(regexp_replace(File, '\\.java$', ''), '/', '.') as Entity from f3),
@@ -464,3 +464,49 @@ def edge_negative_antijoin(spark, d):
     total = v.agg(F.count("*").alias("c"))
     drawn = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).join(F.broadcast(total)).select("src", ((F.col("src") * 7919 + F.col("k") * 104729) % F.col("c")).alias("dst")).where("src <> dst").distinct()
     return drawn.join(e, ["src", "dst"], "left_anti")
+
+
+def _embeddings(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("fx").alias("dataset"), F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query("""with v as (select vec_id, label, unnest(embedding) v, generate_subscripts(embedding, 1) i from embeddings), m as (select label, i, avg(cast(v as double)) m from v group by 1, 2),
+x as (select v.vec_id, m.label, round(sum((v.v - m.m) * (v.v - m.m)), 9) d from v join m on m.i = v.i group by 1, 2)
+select vec_id as id, cast(label as int) as cluster from (select *, row_number() over (partition by vec_id order by d, label) r from x) where r = 1""")
+def centroid_assign(spark, d):
+    return clustering.nearest_centroid(_embeddings(spark, d))
+
+
+@query("""with p as (select a.vec_id i, a.label la, b.vec_id j, b.label lb, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: power(cast(z[1] as double) - cast(z[2] as double), 2)))) d from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+n as (select label, count(*) c from embeddings group by 1), s as (select i, la, lb, sum(d) sd from p group by 1, 2, 3),
+ab as (select i, max(case when la = lb then sd / nullif(c - 1, 0) end) a, min(case when la <> lb then sd / c end) b from s join n on n.label = lb group by 1)
+select round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) as silhouette from ab""")
+def silhouette(spark, d):
+    return clustering.silhouette(_embeddings(spark, d), sample=None).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query()
+def ward_clusters(spark, d):
+    """Ward clusters of the embeddings at k = 10: sizes by cluster."""
+    return clustering.cluster(_embeddings(spark, d), "agglomerative", 10).groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+@query()
+def kmeans_search(spark, d):
+    """k-means at the silhouette-selected k of 5 to 12."""
+    return clustering.cluster(_embeddings(spark, d), "kmeans", None, 5, 12, seed=1).select("dataset", "k", F.round("silhouette", 6).alias("silhouette")).distinct()
+
+
+@query()
+def random_walks(spark, d):
+    """Two uniform walks of 6 nodes from every file."""
+    v = _vertices(spark, d)
+    w = walks.random_walks(v.select("id"), graphs.undirected(_rows(spark, d)), 2, 6, seed=3, cut=3)
+    return w.select("walk", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def gdc(spark, d):
+    """Diffusion of the whole file graph, 16 neighbours each: dense up to the kernel's size, by pushes beyond."""
+    out = diffusion.gdc(_vertices(spark, d), graphs.undirected(_rows(spark, d)), "ppr", 0.15, 16)
+    return out.select("src", "dst", F.round("weight", 9).alias("weight"))

@@ -14,3 +14,24 @@ def session(app: str = "skein", master: str | None = None, **conf: str) -> Spark
     for key, value in (fixed | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not find it by themselves: add it as a zip, once."""
+    import os
+    import tempfile
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if root in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")] or getattr(context, "_skein_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="skein-"), "skein.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "skein")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._skein_shipped = True
