@@ -44,7 +44,7 @@ def random_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
             pick = pick.withColumn("_k", F.least("_k", F.col("_n") - 1)).drop("_n")
             moved = pick.join(hops.drop("_n"), ["src", "_k"], "left").select("walk", "path", "dst")
         else:
-            options = walks.withColumn("prev", F.element_at("path", -2)).join(hops.select("src", "dst"), "src", "left").join(pairs, ["prev", "dst"], "left")
+            options = walks.withColumn("prev", F.try_element_at("path", F.lit(-2))).join(hops.select("src", "dst"), "src", "left").join(pairs, ["prev", "dst"], "left")
             weight = F.when(F.col("dst") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
             order = F.struct((-F.log(_draw(F.lit(seed), "walk", F.lit(step), "dst")) / weight).alias("e"), "dst")
             moved = options.groupBy("walk", "path").agg(F.min_by("dst", order).alias("dst"))
@@ -80,7 +80,7 @@ def metapath_walks(edges: DataFrame, types: list[str], per_node: int, length: in
     return walks.select("walk", "path")
 
 
-def sgns(paths: list[list[int]], n: int, dims: int, window: int, epochs: int, negative: int, seed: int, rate: float = 0.025, batch: int = 4096) -> np.ndarray:
+def sgns(paths: list[list[int]], n: int, dims: int, window: int, epochs: int, negative: int, seed: int, rate: float = 0.025, batch: int = 4096, steps_per_epoch: int = 200) -> np.ndarray:
     """Skip-gram vectors with negative sampling (frequency to the power of 3/4) by mini-batches of averaged steps."""
     rng = np.random.default_rng(seed)
     centre, context = rng.uniform(-0.5, 0.5, (n, dims)) / dims, np.zeros((n, dims))
@@ -92,6 +92,7 @@ def sgns(paths: list[list[int]], n: int, dims: int, window: int, epochs: int, ne
     if not pairs:
         return centre
     pairs = np.hstack(pairs)
+    batch = min(batch, max(64, pairs.shape[1] // steps_per_epoch))  # small graphs need steps more than width
     share = np.bincount(pairs[1], minlength=n) ** 0.75
     table = np.cumsum(share / share.sum())
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
