@@ -25,13 +25,13 @@ class Bands:
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.45, 2.4), (512, 0.9, 2.2), (1024, 1.1, 2.2), (2048, 1.2, 2.3), (4096, 1.3, 2.45), (8192, 1.3, 2.6),
-        (16384, 1.3, 2.75), (65536, 1.3, 3.0), (float("inf"), 1.3, 3.4),
+        (256, 0.45, 2.4), (512, 1.05, 2.2), (1024, 1.2, 2.2), (2048, 1.35, 2.3), (4096, 1.45, 2.45), (8192, 1.5, 2.6),
+        (16384, 1.5, 2.75), (65536, 1.5, 3.0), (float("inf"), 1.5, 3.4),
     )
     chunk_bytes: int = 2048
     #: Chunks (the last one only if it has half the size) outside these limits are bad; the text fails if more than
     #: this share of its chunks is bad.
-    chunk: tuple[float, float] = (1.15, 2.5)
+    chunk: tuple[float, float] = (1.3, 2.5)
     bad_share: float = 0.34
     min_words: int = field(default=50)
     repeat_percent: int = field(default=50)
