@@ -1,10 +1,11 @@
 """Exact set-similarity join of documents on word shingles, with set-relation skipping.
 
-1. A pass over the texts gives each document's set of shingles (64-bit hashes), a hash of the whole set, and a table of
-   shingle frequencies in a fixed number of buckets. Documents with the same set become one set.
+1. A pass over the texts gives each document's set of shingles (64-bit hashes), a hash and a parity bitmap of the
+   whole set, and a table of shingle frequencies in a fixed number of buckets. Equal sets become one set.
 2. Shingles have one global order: rare buckets first, then by hash. Two sets that are similar enough share a shingle
-   in their prefixes under any such order. Sets that share a prefix shingle are joined to one leader of that shingle
-   (never to each other), and the connected groups of that graph hold every link.
+   in their prefixes under any such order. Index lists of prefix shingles are read by size: a set meets the sets of a
+   fitting size and position only. Where few meet, pairs are kept if their bitmaps leave room for the overlap; where
+   many meet, the list is chained (never paired). The connected groups of both hold every link.
 3. Inside a group all sets are first verified against the group's leader; those that link to it are one class, whose
    members need no answers about each other. The rest is verified in bounded blocks against all sets of the group.
    In a block, index lists are kept by position and skipped as a whole where position and sizes rule a link out, and
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import bitmap_filter, discard, materialize
 
-#: Words of a shingle; buckets of the frequency table; most sets, and most shingles, of a block's side.
-SIZE, BUCKETS, BLOCK_SETS, BLOCK_SHINGLES = 5, 1 << 16, 1024, 1_500_000
-#: Prefix shingles that a task holds to join sets before the shuffle.
-HELD = 400_000
+#: Words of a shingle; most sets, and most shingles, of a block's side.
+SIZE, BLOCK_SETS, BLOCK_SHINGLES = 5, 1024, 1_500_000
+#: Buckets of the frequency table, sent in chunks of so many; bits of a set's parity bitmap.
+BUCKETS, CHUNK, BITS = 1 << 20, 1 << 12, 2048
+#: An index list pairs a set with at most so many others of a fitting size; beyond that the list is chained.
+PAIRED = 64
 
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -86,7 +89,13 @@ class Shingler:
 
 
 def bucket_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles.view(np.uint64) >> np.uint64(64 - 16)).astype(np.int64)
+    return (shingles.view(np.uint64) >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles that fall on each bit; two bitmaps differ in no more bits than the sets
+    differ in shingles."""
+    return np.packbits(np.bincount((shingles.view(np.uint64) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -103,96 +112,130 @@ def linked(i: int, a: int, b: int) -> bool:
 
 
 def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (id, ``n``, ``sid``) and rows of bucket counts (``bucket``, ``cnt``) of each task."""
+    """Rows of documents (id, ``n``, ``sid``, ``bits``) and, for each task, chunks of its frequency table (``chunk``)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts, first = Shingler(), np.zeros(BUCKETS, np.int64), None
-        names = [id_col, "n", "sid", "bucket", "cnt"]
+        shingle, counts, first = Shingler(), np.zeros(BUCKETS, np.uint32), None
+        names = [id_col, "n", "sid", "bits", "chunk"]
         for batch in batches:
             first = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
-                part, n, sid = batch.slice(at, 512), [], []
+                part, n, sid, bits = batch.slice(at, 512), [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle(text)
                     np.add.at(counts, bucket_of(s), 1)
                     n.append(len(s))
                     sid.append(set_id(s) if len(s) else None)
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, none], names=names)
+                    bits.append(bitmap_of(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int64())], names=names)
         if first is not None:
-            at = np.flatnonzero(counts)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), first), none, none, pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, sid long, bucket long, cnt long")
+            for k in range(BUCKETS // CHUNK):
+                part = counts[k * CHUNK : (k + 1) * CHUNK]
+                if part.any():
+                    none = pa.nulls(1, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, first), none, none, pa.array([part.tobytes()], pa.binary()), pa.array([k], pa.int64())], names=names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, sid long, bits binary, chunk long")
+
+
+def frequencies(described: DataFrame) -> np.ndarray:
+    """The summed frequency table; a group is one chunk of all tasks, and the driver gets ``BUCKETS`` numbers."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for x, wide in zip(table.column("bits").to_pylist(), table.column("wide").to_pylist(), strict=True):
+            total += np.frombuffer(x, np.int64 if wide else np.uint32)
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    own = described.where("chunk is not null").select("chunk", "bits", F.lit(False).alias("wide"))
+    part = own.groupBy("chunk", F.pmod(F.xxhash64("bits"), F.lit(64)).alias("salt")).applyInArrow(add, "chunk long, bits binary")  # 64 groups share a chunk
+    whole = part.withColumn("wide", F.lit(True)).groupBy("chunk").applyInArrow(add, "chunk long, bits binary")
+    out = np.zeros(BUCKETS, np.int64)
+    for k, x in whole.collect():
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(x, np.int64)
+    return out
 
 
-def candidate_edges(docs: DataFrame, frequency: np.ndarray, text_col: str) -> DataFrame:
-    """Edges ``a, b`` between a set and the leader of each prefix shingle that it shares; one shuffle of prefixes.
+def meetings(n: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs and chain links (places) of one index list, sorted by set size; ``at``: place of the shingle in each set.
 
-    A task joins the sets that it sees itself and sends one row for each shingle that it holds, so that a shingle that
-    is very frequent sends few rows from each task.
+    A pair can only link if the larger set is at most 5/4 of the smaller one and if enough shingles follow in both.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(frequency)
+    end = np.searchsorted(n, n * 5 // 4, "right")
+    pairs, chain, done = [], [], 0
+    for i in range(len(n) - 1):
+        if end[i] - i - 1 > PAIRED:
+            chain += [(k, k + 1) for k in range(max(i, done), end[i] - 1)]
+            done = max(done, end[i] - 1)
+        else:
+            for k in range(i + 1, end[i]):
+                if 9 * min(n[i] - at[i], n[k] - at[k]) >= 4 * (n[i] + n[k]):
+                    pairs.append((i, k))
+    return pairs, chain
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, rank, seen, lead = Shingler(), shipped.value, set(), {}
 
-        def rows(key: list[int], sid: list[int], other: list[int | None]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(other, pa.int64())], names=["key", "sid", "other"])
+def candidate_edges(docs: DataFrame, sets: DataFrame, frequency: np.ndarray, text_col: str) -> DataFrame:
+    """Edges ``a, b`` whose connected groups hold every link; one shuffle of prefixes, then one of candidate pairs."""
+    shipped = docs.sparkSession.sparkContext.broadcast(frequency)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, sids = list(lead), list(lead.values())
-            lead.clear()
-            for at in range(0, len(keys), 8192):
-                yield rows(keys[at : at + 8192], sids[at : at + 8192], [None] * len(keys[at : at + 8192]))
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, rank, seen = Shingler(), shipped.value, set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                key, sid, size, place = [], [], [], []
+                for text in batch.column(0).slice(k, 64).to_pylist():
+                    s = shingle(text)
+                    if not len(s) or (own := set_id(s)) in seen:
+                        continue  # an equal set has been sent
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(own)
+                    head = s[np.lexsort((s, rank[bucket_of(s)]))[: prefix_length(len(s))]]
+                    key.append(head)
+                    sid.append(np.full(len(head), own))
+                    size.append(np.full(len(head), len(s), np.int32))
+                    place.append(np.arange(len(head), dtype=np.int32))
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, sid, size, place)], names=["key", "sid", "n", "at"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+
+        def lists(key: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found: set[tuple[int, int, bool]] = set()
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+            stop = np.append(start[1:], len(key))
+            for a, b in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist(), strict=True):
+                own = np.concatenate(([True], sid[a + 1 : b] != sid[a : b - 1]))  # one set, sent by several tasks
+                x = sid[a:b][own].tolist()
+                if len(x) > 1:
+                    pairs, chain = meetings(n[a:b][own].astype(np.int64), at[a:b][own].astype(np.int64))
+                    found |= {(max(x[i], x[k]), min(x[i], x[k]), False) for i, k in pairs} | {(max(x[i], x[k]), min(x[i], x[k]), True) for i, k in chain}
+            out = list(found)
+            for k in range(0, len(out), 8192):
+                part = out[k : k + 8192]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "chained"])
 
         for batch in batches:
-            edges: set[tuple[int, int]] = set()
-            for text in batch.column(0).to_pylist():
-                s = shingle(text)
-                if not len(s) or (sid := set_id(s)) in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sid)
-                p = prefix_length(len(s))
-                head = s[np.lexsort((s, rank[bucket_of(s)]))[:p]].tolist()
-                for k in head:
-                    if (first := lead.setdefault(k, sid)) != sid:
-                        edges.add((sid, first))
-                if len(lead) > HELD:
-                    yield from flush()
-            if edges:
-                yield rows([a for a, _ in edges], [a for a, _ in edges], [b for _, b in edges])
-        yield from flush()
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_sid = None
+            cols = [np.concatenate((r, batch.column(i).to_numpy())) for i, r in enumerate(rest)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if batch.num_rows else 0  # the last list may go on
+            rest = [c[cut:] for c in cols]
+            yield from lists(*[c[:cut] for c in cols])
+        yield from lists(*rest)
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            other = batch.column(2)
-            done = other.is_valid().to_numpy(zero_copy_only=False)
-            a, b = [sid[done]], [other.filter(other.is_valid()).to_numpy()]
-            key, sid = key[~done], sid[~done]
-            if len(key):
-                if last_key is not None:
-                    key, sid = np.concatenate(([last_key], key)), np.concatenate(([last_sid], sid))
-                same = key[1:] == key[:-1]
-                start = np.concatenate(([True], ~same))
-                leader = sid[np.maximum.accumulate(np.where(start, np.arange(len(sid)), 0))]
-                a.append(sid[~start])
-                b.append(leader[~start])
-                last_key, last_sid = key[-1], leader[-1]
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    heads = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(prefixes, "key long, sid long, other long")
-    return heads.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * (both - differ) >= 8 * both))
+
+    heads = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(prefixes, "key long, sid long, n int, at int")
+    met = materialize(heads.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(meet, "a long, b long, chained boolean").distinct(), "met")
+    side = lambda c, x: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(x))
+    fit = met.where("not chained").select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(fitting, "a long, b long")
+    return fit.unionByName(met.where("chained").select("a", "b")).distinct()
 
 
 def block_links(sets: list[frozenset[int]], sides: list[int]) -> list[tuple[int, int]]:
@@ -322,12 +365,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated id are told apart by their sets. An empty table gives no rows. Further columns are not read.
     """
     described = materialize(describe_sets(docs, id_col, text_col), "sets")
-    frequency = np.zeros(BUCKETS, np.int64)
-    for bucket, count in described.where("bucket is not null").groupBy("bucket").agg(F.sum("cnt")).collect():  # BUCKETS rows at most
-        frequency[bucket] = count
-    rows = described.where("bucket is null").select(id_col, "n", "sid")
+    rows = described.where("chunk is null").select(id_col, "n", "sid")
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias("rep"), F.max("n").alias("n"))
-    edges = materialize(candidate_edges(docs, frequency, text_col), "candidates")
+    bitmaps = described.where("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
+    edges = materialize(candidate_edges(docs, bitmaps, frequencies(described), text_col), "candidates")
     groups = materialize(components(edges), "groups")
     discard(edges)
     links = materialize(set_links(docs, sets, groups, id_col, text_col), "links")
