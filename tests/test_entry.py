@@ -10,7 +10,7 @@ ROOT = os.path.dirname(os.path.abspath(e.__file__))
 
 
 def test_names():
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 55
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
 
 
 def test_without_corpus_operators(tmp_path):
