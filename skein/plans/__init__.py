@@ -1 +1 @@
-
+"""Composed plans: adapter views, registered queries, preparation, experiments."""

@@ -1 +1 @@
-
+"""Readers, ground-truth parsers, catalogs and sinks."""

@@ -1 +1 @@
-
+"""Nothing here streams: the engine has batch operators only."""
