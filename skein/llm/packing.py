@@ -68,9 +68,8 @@ def pack_histogram(counts: dict[int, int], width: int) -> list[tuple[list[int],
     """Patterns ``(lengths, count)`` that hold every length of the histogram as often as it occurs.
 
     Lengths go longest first; each goes to the open pattern with the most room left (the shortest pack), as many
-    times as that pattern stands, and a pattern that is only partly used is split in two. Every step uses up a
-    length or a pattern, so there are at most ``2 * width`` patterns per length placed and the result does not depend
-    on how often lengths occur.
+    times as that pattern stands, and a pattern that is only partly used is split in two. A length splits one pattern
+    and opens two at most, so there are at most three patterns for each length, however often lengths occur.
     """
     room: dict[int, list[tuple[list[int], int]]] = {}
     sizes: list[int] = []  # sorted keys of room

@@ -22,9 +22,9 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Base patterns. The look-behind and \\G spare starts inside a run that has failed as a whole; a run of fewer than 12
-#: digits can't be a card; both leave the leftmost matches as they are.
+#: digits can't be a card; both leave the leftmost matches as they are. Possessive groups do not recurse on long runs.
 BASE = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -99,6 +99,13 @@ def test_personal_base(spark, docs):
     assert not re.search("Python|Arrow|Exchange", plan._jdf.queryExecution().executedPlan().toString())
 
 
+def test_personal_long_runs(spark):
+    texts = ["x@a" + ".a" * 40_000, "1 " * 60_000, "+1" + "2 " * 30_000 + "3", "1.1.1.1 " * 3000, "a" * 300_000 + "@"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.find_personal_data(df).collect()}
+    assert got == {0: (1, 0, 0, 0), 1: (0, 0, 0, 0), 2: (0, 0, 0, 0), 3: (0, 3000, 0, 0), 4: (0, 0, 0, 0)}
+
+
 def test_personal_candidates(spark):
     texts = ["please phone (212) 555-0100 today", "social security number 123-45-6789 of them", "write to jane (at) site (dot) org now", "order 4821 334 981 came", "page 120 334 771 of", "iban DE12 1234 5678 9012 3456 78 for rent"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
