@@ -126,6 +126,11 @@ def extract(page: str | None, weights: Weights) -> str:
         a -= 1
     while 0 < b < len(rows) and not rows[b][2]:
         b += 1
+    # a region that begins or ends inside an element that names itself the article takes that element as a whole
+    while 0 < a < b and rows[a][3] and rows[a - 1][3] and rows[a][0] != "<article":
+        a -= 1
+    while a < b < len(rows) and rows[b - 1][3] and rows[b][3] and rows[b - 1][0] != "</article":
+        b += 1
     for kind, text, block, _ in rows[a:b]:
         if block:
             blocks.append(now)
