@@ -163,10 +163,12 @@ def meetings(n: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int]], list
     A pair can only link if the larger set is at most 5/4 of the smaller one and if enough shingles follow in both.
     """
     end = np.searchsorted(n, n * 5 // 4, "right")
-    pairs, chain, done = [], [], 0
+    pairs, chain, done, centre = [], [], 0, 0
     for i in range(len(n) - 1):
         if end[i] - i - 1 > PAIRED:
-            chain += [(k, k + 1) for k in range(max(i, done), end[i] - 1)]
+            if i > done:
+                centre = done = i  # else the run goes on, with the centre that it has
+            chain += [(centre, k) for k in range(max(done, centre) + 1, end[i])]
             done = max(done, end[i] - 1)
         else:
             for k in range(i + 1, end[i]):
@@ -332,7 +334,8 @@ def set_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, id_col: str,
     # repeated ids may carry different texts: the text must give the set
     member = materialize(near.join(rows, "rep").select("root", "sid", "n", "text"), "members")
     sized = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    salts = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    # comparing with one leader is linear, so its blocks are small and spread well
+    salts = F.greatest(F.ceil(F.col("m") * 8 / BLOCK_SETS), F.ceil(F.col("w") * 8 / BLOCK_SHINGLES)).cast("int")
     member_s = member.join(sized.select("root", salts.alias("salts")), "root")
     # 1. everything against the group's leader, which goes to all of its salts
     lead = member_s.where("sid = root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))

@@ -123,6 +123,19 @@ def test_jaccard(spark, monkeypatch, paired):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_meetings(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    r = random.Random(2)
+    for _ in range(300):
+        n = np.array(sorted(r.choice([10, 11, 12, 14, 30, 31, 90]) + r.randint(0, 2) for _ in range(r.randint(2, 25))))
+        pairs, chain = jaccard.meetings(n, np.zeros(len(n), np.int64))
+        find = roots(range(len(n)), pairs + chain)
+        assert all(find[i] == find[k] for i in range(len(n)) for k in range(i + 1, len(n)) if 4 * n[k] <= 5 * n[i])
+        assert len(chain) < len(n) and len(pairs) <= 4 * len(n)
+
+
 def test_prefix_length():
     for a in range(1, 200):
         need = -(-4 * a // 5)
