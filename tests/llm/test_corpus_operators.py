@@ -87,6 +87,33 @@ def test_line_dedup(spark, threshold):
             assert x["text"] == "\n".join(y for k, y in enumerate(t.split("\n")) if not y.strip() or (x["doc_id"], k) in keep)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
+def test_line_dedup_long(spark):
+    r = random.Random(11)
+    made = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(900)]
+    words = lambda n: [r.choice(made) for _ in range(n)]
+
+    def replaced(w, many):
+        w = list(w)
+        for k in r.sample(range(len(w)), many):
+            w[k] = "zq" * 5
+        return w
+
+    # words of a line, words replaced, whether the later line goes: one word for 16, at any place, grown with the length
+    cases = [(n, 1, True) for n in (16, 20, 27, 31, 60) for _ in range(6)]
+    cases += [(n, n.bit_length() > 4 and (1 << (n.bit_length() - 1)) // 16, True) for n in (33, 66, 130, 255, 256, 300, 600) for _ in range(3)]
+    cases += [(n, n // 8 + 2, False) for n in (16, 31, 66, 130, 300, 600)]
+    rows = []
+    for i, (n, many, _) in enumerate(cases):
+        w = words(n)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(replaced(w, many)))]
+    moved = words(40)  # one word dropped at the start and one added at the end
+    rows += [(1000, " ".join(moved)), (1001, " ".join([*moved[1:], "zqzqzqzqzq"]))]
+    typed = "".join(r.choice("abcdefgh") for _ in range(70))  # four characters of a line without spaces
+    rows += [(1002, typed), (1003, "x" + typed[1:20] + "y" + typed[20:50] + "z" + typed[51:69] + "u")]
+    got = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 for k, _ in rows} | {2 * i + 1: int(gone) for i, (_, _, gone) in enumerate(cases)} | {1001: 1, 1003: 1}
+
+
 
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
