@@ -84,6 +84,19 @@ def test_graph_labels(spark):
     assert [tuple(r) for r in graphs.gapless(big, "v", chunk=100).orderBy("v").collect()] == [(v, i) for i, v in enumerate(range(0, 5000, 7))]
 
 
+def test_push_is_symmetric(spark, monkeypatch):
+    edges = [(0, 1), (0, 2), (0, 3), (0, 4), (4, 5), (1, 2)]  # a hub and leaves: degrees differ
+    v = spark.createDataFrame([(i,) for i in range(7)], "id long")
+    e = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src long, dst long")
+    rows = lambda df: {(r["src"], r["dst"]): r["weight"] for r in df.collect()}
+    exact = rows(diffusion.gdc_exact(v, e, "ppr", 0.5, 7))
+    monkeypatch.setattr(diffusion.kernels, "DENSE_NODES", 3)
+    got = rows(diffusion.gdc(v, e, "ppr", 0.5, 7, 1e-4))
+    assert all(got.get(k, 0) == pytest.approx(w, abs=2e-3) for k, w in exact.items()) and set(got) <= set(exact)
+    with pytest.raises(RuntimeError):
+        diffusion.push(v, e, 0.5, 1e-4, 2)
+
+
 def test_push_meets_exact(spark):
     edges = [(0, 1), (1, 2), (2, 0), (3, 4), (2, 3)]
     v = spark.createDataFrame([(i,) for i in range(6)], "id long")
