@@ -434,6 +434,13 @@ def ppr_top_neighbours(spark, d):
     return diffusion.top_k(p, 16).select("source", "node", F.round("p", 6).alias("p"))
 
 
+@query()
+def ppr_all_neighbours(spark, d):
+    """Personalised PageRank of every file, in the default rounds, 16 neighbours kept; no SQL, as its joins grow too large."""
+    p = diffusion.ppr(_vertices(spark, d), graphs.undirected(_rows(spark, d)))
+    return diffusion.top_k(p, 16).select("source", "node", F.round("p", 6).alias("p"))
+
+
 @query(f"with t as ({_TYPED}), w as (select src, dst, cast(sum(Dependency_Count) as bigint) weight from t where src <> dst group by 1, 2) select cast(src as bigint) as source, cast(dst as bigint) as node, weight as p from (select *, row_number() over (partition by src order by weight desc, dst) r from w) where r <= 5")
 def topk_neighbors(spark, d):
     return diffusion.top_k(graphs.weighted(_rows(spark, d)).select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("weight").alias("p")), 5)

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from skein.operators import clustering, diffusion, graphs, prepare
@@ -84,6 +85,24 @@ def test_graph_labels(spark):
     assert [tuple(r) for r in graphs.gapless(big, "v", chunk=100).orderBy("v").collect()] == [(v, i) for i, v in enumerate(range(0, 5000, 7))]
 
 
+def test_ppr_all_neighbours(spark, monkeypatch):
+    edges = [(0, 1), (0, 2), (0, 3), (3, 4), (1, 2)]
+    v = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    e = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src long, dst long")
+    monkeypatch.setattr(queries, "_vertices", lambda *_: v)
+    monkeypatch.setattr(queries, "_rows", lambda *_: e)
+    monkeypatch.setattr(queries.graphs, "undirected", lambda x: x)
+    got = {(r["source"], r["node"]): r["p"] for r in queries.QUERIES["ppr_all_neighbours"](spark, "").collect()}
+    t = np.eye(6)
+    for a, b in edges:
+        t[a, b] = t[b, a] = 1
+    t = t / np.sqrt(np.outer(t.sum(0), t.sum(0)))
+    p = np.eye(6)
+    for _ in range(3):
+        p = 0.15 * np.eye(6) + 0.85 * p @ t
+    assert got == {(i, j): pytest.approx(p[i, j], abs=1e-6) for i in range(6) for j in range(6) if p[i, j] > 0}
+
+
 def test_push_is_symmetric(spark, monkeypatch):
     edges = [(0, 1), (0, 2), (0, 3), (0, 4), (4, 5), (1, 2)]  # a hub and leaves: degrees differ
     v = spark.createDataFrame([(i,) for i in range(7)], "id long")
