@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of a local master without ``spark.checkpoint.dir`` (tests), once it has been made.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see; the session's ``spark.checkpoint.dir``.
 
@@ -28,9 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if spark.sparkContext.master.startswith("local["):
-        made = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+        return _LOCAL[0] if _LOCAL else _LOCAL.append(tempfile.mkdtemp(prefix="skein-")) or _LOCAL[0]
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein"
 
 

@@ -114,6 +114,64 @@ def test_line_dedup_long(spark):
     assert got == {k: 0 for k, _ in rows} | {2 * i + 1: int(gone) for i, (_, _, gone) in enumerate(cases)} | {1001: 1, 1003: 1}
 
 
+def test_line_dedup_repeated_ids(spark):
+    a, b, c = "the first line of all, which is long enough", "another line, unlike anything else that is here", "short"
+    rows = [(1, a), (2, a + "x"), (2, b), (2, b), (3, c), (3, f"{c}\n{b}z\nnew")]
+    got = sorted((x["doc_id"], x["text"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, a), (2, ""), (2, b), (2, b), (3, c), (3, "new")] or got == [(1, a), (2, ""), (2, b), (2, b), (3, ""), (3, f"{c}\nnew")]
+
+
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    """Keys with more lines than ``FEW`` are divided by further segments; the links stay whole."""
+    monkeypatch.setattr(line_dedup, "FEW", 3)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    heads = ["a head that very many lines share " * 2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 ", " ".join(word() for _ in range(200)) + " "]
+    rows = []
+    for head in heads:
+        tails = [" ".join(word() for _ in range(r.choice([4, 8, 12]))) for _ in range(9)]
+        for tail in tails:
+            for _ in range(2):
+                x = list(head + tail)
+                for _ in range(r.choice([0, 1, 2, 3])):
+                    k = r.randrange(len(x))
+                    x[k : k + r.randint(0, 1)] = r.choice(["", "z", " "])
+                rows.append("".join(x))
+    rows = list(dict.fromkeys(rows))
+    lines = spark.createDataFrame([(x,) for x in rows], "line string").withColumn("h", F.xxhash64("line"))
+    found = {x["h"]: x["line"] for x in lines.collect()}
+
+    def close(a, b):
+        n, w = min(len(a), len(b)), [a.split(" "), b.split(" ")]
+        few = min(map(len, w))
+        return edit(a, b) <= (4 if n >= 64 else 2) or few >= 16 and edit(*w) <= (1 << (few.bit_length() - 1)) // 16
+
+    chars, words = line_dedup.budgets(None, line_dedup.MIN_CHARS)
+    links = [(found[x["a"]], found[x["b"]]) for x in line_dedup.near_links(lines, chars, words).collect()]
+    assert links and all(close(a, b) for a, b in links)
+    want = roots(rows, [(a, b) for n, a in enumerate(rows) for b in rows[:n] if close(a, b)])
+    got = roots(rows, links)
+    group = lambda of: sorted(sorted(x for x in rows if of[x] == k) for k in set(of.values()))
+    assert group(got) == group(want)
+
+
+def test_line_dedup_distance(spark):
+    r = random.Random(1)
+    rows = []
+    for _ in range(200):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 7)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice(["", "a", "z"])
+        rows.append((list(a), b) if len(a) >= len(b) else (b, list(a)))
+    rows = [([c for c in a if c], [c for c in b if c]) for a, b in rows]
+    rows = [(a, b) if len(a) >= len(b) else (b, a) for a, b in rows]
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>")
+    for k in (1, 4, 16, 30):
+        for (a, b), got in zip(rows, df.select(F.expr(line_dedup.distance("x", "y", k)).alias("d")).collect(), strict=True):
+            assert min(got["d"], k + 1) == min(edit(a, b), k + 1)
+
 
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
