@@ -20,7 +20,8 @@ from .shared import map_batches
 #: The fit reads at most so many pages, those with the smallest hash of their url or id.
 FIT_PAGES = 400
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+#: Each part of a tag has characters of its own and gives none back, so a broken tag costs its length once.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select)\b(?:"[^"]*+"|'[^']*+'|[^'"<>])*+>.*?(?:</\1\s*+>|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][^\s/<>"']*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>""", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _GAP = re.compile(r"\s+")
 
@@ -40,13 +41,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     new block starts there; ``article`` tells if the place lies inside the element that names itself the article.
     """
     out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, article
+    # open elements: name, the innermost one that is apart, whether one up to here is the article
+    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    opened: Counter[str] = Counter()
     at, block = 0, "body"
 
     def text_row(raw: str) -> None:
         if raw:
-            apart = next((n for n, a, _ in reversed(stack) if a), "")
-            out.append((f"!{apart}" if apart else block, raw, False, any(m for _, _, m in stack)))
+            _, apart, inside = stack[-1]
+            out.append((f"!{apart}" if apart else block, raw, False, inside))
 
     for m in _TOKEN.finditer(page):
         text_row(page[at : m.start()])
@@ -55,12 +58,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if not name:
             continue
         name = name.lower()
-        inside = any(x for _, _, x in stack)
+        inside = stack[-1][2]
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while (top := stack.pop()[0]) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
             out.append((f"</{name}", "", name in BLOCKS, inside))
             block = "body" if name == block else block
         else:
@@ -69,10 +72,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             apart = name in APART or name == "header" and not inside or bool(named) and name not in ("body", "html", "article", "main") and bool(_ASIDE.search(named))
             out.append((f"<{name}", "", name in BLOCKS, inside or name == "article"))
             if name not in _VOID and not m[4].endswith("/") and (name in BLOCKS or apart or name == "a"):
-                if name in ("p", "li", "tr", "dt", "dd"):  # these end where the next one starts
-                    if stack and stack[-1][0] == name:
-                        stack.pop()
-                stack.append((name, apart, name in ("article", "main") or main and name in ("div", "section")))
+                if name in ("p", "li", "tr", "dt", "dd") and stack[-1][0] == name:  # these end where the next one starts
+                    stack.pop()
+                    opened[name] -= 1
+                _, outer, inside = stack[-1]
+                stack.append((name, name if apart else outer, inside or name in ("article", "main") or main and name in ("div", "section")))
+                opened[name] += 1
             if name in BLOCKS:
                 block = name
     text_row(page[at:])
@@ -110,23 +115,31 @@ def learn(pages: list[str]) -> Weights:
     return Weights(word, tag)
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """Text of the best region: blocks in page order, one line each; empty if there is none."""
-    rows = tokens(page or "")
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous part with the highest sum, the first of several; (0, 0) if no sum is positive."""
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, text, _, _) in enumerate(rows):
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += weights.of(kind, len(text.split()) if kind[0] != "<" else 1)
+        total += score
         if total > best:
             best, span = total, (start, i + 1)
+    return span
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """Text of the best region: blocks in page order, one line each; empty if there is none.
+
+    A region that begins or ends inside an element that names itself the article takes that element as a whole. Of
+    regions with the same score the first counts. Broken markup is text; the time grows with the page's length.
+    """
+    rows = tokens(page or "")
+    a, b = best_region([weights.of(kind, len(text.split()) if kind[0] != "<" else 1) for kind, text, _, _ in rows])
     blocks, now = [], []
-    a, b = span
     while a > 0 and not rows[a][2]:  # the block that the region starts in, as a whole
         a -= 1
     while 0 < b < len(rows) and not rows[b][2]:
         b += 1
-    # a region that begins or ends inside an element that names itself the article takes that element as a whole
     while 0 < a < b and rows[a][3] and rows[a - 1][3] and rows[a][0] != "<article":
         a -= 1
     while a < b < len(rows) and rows[b - 1][3] and rows[b][3] and rows[b - 1][0] != "</article":
