@@ -39,10 +39,15 @@ class Encoder:
 
     def __init__(self, name: str = "byte_bpe_50k") -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(f"{name}.json")) as file:
+            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        self.added = {x: np.array([i], "<u4").tobytes() for x, i in added.items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -59,6 +64,12 @@ class Encoder:
         self.known = Known()
 
     def __call__(self, text: str) -> bytes:
+        """Ids of a text; the strings of the vocabulary's added tokens are those tokens wherever they stand."""
+        if self.special and self.special.search(text):
+            return b"".join(self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(self.special.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
         # the first piece has no space before it
         return self.known[parts[0]] + b"".join(map(self.known.__getitem__, [" " + p for p in parts[1:]]))

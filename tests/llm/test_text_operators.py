@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -172,14 +173,37 @@ def test_pages(spark):
     assert got == sorted([(1, "u", want, len(want))] * 2 + [(2, None, "", 0)], key=str)
 
 
+def test_region():
+    r = random.Random(3)
+    for _ in range(200):
+        x = [r.choice([-2, -1, 1, 2]) for _ in range(r.randint(0, 12))]
+        a, b = html_text.best_region(x)
+        assert sum(x[a:b]) == max([0, *(sum(x[i:k]) for i in range(len(x)) for k in range(i + 1, len(x) + 1))])
+
+
+def test_page_without_article_tag(spark):
+    """Where the article element is hidden, the learned scores alone find it on most pages."""
+    pages = [x["html"] for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    w = html_text.learn(pages)
+    hidden = [x.replace("<article", "<div").replace("</article", "</div") for x in pages]
+    same = sum(html_text.extract(a, w) == html_text.extract(b, w) for a, b in zip(pages, hidden, strict=True))
+    assert same >= 0.5 * len(pages), same / len(pages)
+
+
+@pytest.mark.parametrize("page", ["<a" * 100_000, "<a " * 100_000, '<a x="' * 50_000, "<!" * 100_000, "<?" * 100_000, "<div>" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, "<script>" * 50_000, "<!--" * 50_000, "<p class=x" * 50_000, "<a '\"" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_text.extract(page, html_text.Weights())
+    assert time.perf_counter() - began < 15
+
+
 def test_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     r = random.Random(4)
-    texts = TEXTS + ["  two  spaces\n\n and  more  x ", "don't 12,5 <|endoftext|> ñ 漢字"] + [" ".join("".join(r.choice("abcdeé.") for _ in range(r.randint(1, 9))) for _ in range(r.choice([3, 300, 3000]))) for _ in range(25)]
+    texts = TEXTS + ["  two  spaces\n\n and  more  x ", "don't 12,5 <|endoftext|> ñ 漢字", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x<|endoftext|>"] + [" ".join("".join(r.choice("abcdeé.") for _ in range(r.randint(1, 9))) for _ in range(r.choice([3, 300, 3000]))) for _ in range(25)]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
     df = spark.createDataFrame([(i, x, 3) for i, x in enumerate(texts)], "doc_id long, text string, start int").repartition(3)
     rows = [x.asDict() for x in packing.pack_documents(df, 512).collect()]
