@@ -12,6 +12,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -24,10 +25,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+#: Three dotted runs from the start of a run: each run is read thrice at most.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}+={0,2}")
+_ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}+")
 
 #: Signature bytes by algorithm of a signed token (None: at least 128).
 _SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "none": 0, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
@@ -56,8 +58,14 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
+def _one_value(data: bytes, at: int, end: int) -> bool:
+    """The bytes are one value: a sequence of whole values, an octet string or an integer."""
+    top = _tlv(data, at, end)
+    return top is not None and top[2] == end and (top[0] in (0x02, 0x04) or top[0] == 0x30 and bool(_children(data, top[1], top[2])))
+
+
 def is_der_key(data: bytes) -> bool:
-    """``data`` is one DER private key: PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA, with no byte left over."""
+    """``data`` is one DER private key: PKCS#1, PKCS#8 (plain, with the key in it, or encrypted), SEC1 or DSA, with no byte left over."""
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -70,7 +78,7 @@ def is_der_key(data: bytes) -> bool:
         if tags[1:] and all(t == 0x02 for t in tags[1:]) and len(tags) in (6, 9):
             return True
         if tags[1:3] == [0x30, 0x04]:
-            return oid_first(parts[1])
+            return oid_first(parts[1]) and _one_value(data, parts[2][1], parts[2][2])
         if first[0] == 1 and tags[1:2] == [0x04] and 16 <= parts[1][2] - parts[1][1] <= 66:
             return all(t in (0xA0, 0xA1) for t in tags[2:])
     return tags == [0x30, 0x04] and oid_first(parts[0]) and parts[1][2] - parts[1][1] >= 32
@@ -130,18 +138,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and body of the blocks from a BEGIN line to the first END line of its label, one after another."""
+    at, missing = 0, set()
+    while m := _PEM.search(text, at):
+        close = f"-----END {m[1]}-----"
+        end = -1 if m[1] in missing else text.find(close, m.end())
+        if end < 0:
+            missing.add(m[1])
+            at = m.end()
+        else:
+            at = end + len(close)
+            yield m.start(), at, text[m.end() : end]
+
+
+def _is_pem_key(body: str) -> bool:
+    lines = [x.strip() for x in body.replace("\\n", "\n").split("\n")]
+    sealed = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
+    data = _b64("".join(x for x in lines if ":" not in x))
+    return bool(data) and (is_der_key(data) or is_ssh_key(data) or sealed and len(data) % 8 == 0)
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that the parsers above confirm."""
     out = []
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        for m in _JWT.finditer(text):
+            if (at := m[1].find("eyJ")) >= 0 and is_signed_token(f"{m[1][at:]}.{m[2]}.{m[3]}"):
+                out.append((m.start(1) + at, m.end(3), "jwt"))
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x.strip() for x in m[2].replace("\\n", "\n").split("\n")]
-            sealed = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
-            data = _b64("".join(x for x in lines if ":" not in x))
-            if data and (is_der_key(data) or is_ssh_key(data) or sealed and len(data) % 8 == 0):
-                out.append((m.start(), m.end(), "pem"))
+        out += [(a, b, "pem") for a, b, body in _blocks(text) if _is_pem_key(body)]
     inside = [(a, b) for a, b, _ in out]
     for pattern, decode in ((_B64, _b64), (_ANY_HEX, bytes.fromhex)):
         for m in pattern.finditer(text):
@@ -168,7 +194,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns the id, ``n_assign, n_access, n_hex, n_confirmed`` (long), ``base_sha256``, ``spans``. Map only: no
     shuffle, so hot sources and groups of copies cost what their bytes cost. A null or empty text gives zeros, the
-    digest of the empty string and ``""``; repeated rows give repeated results; an empty table gives no rows; further
+    digest of the empty string and ``""``; a very long text costs its length; repeated rows give repeated results; an empty table gives no rows; further
     columns, whatever their names, are not read.
     """
 
