@@ -116,6 +116,12 @@ class Matcher:
         for i, starts in spans.items():
             _, item, masks, back = self.items[i]
             m, e = len(item), budget(len(item))
+            if e == 0:  # a short item, which must not lie inside a word: each start by itself
+                outer = lambda a, b: not (a and text[a - 1].isalnum() and item[0].isalnum() or b < len(text) and text[b].isalnum() and item[-1].isalnum())  # noqa: B023, E731
+                first = next((s for s in sorted(starts) if outer(s, s + m)), None)
+                if first is not None:
+                    out.append((i, 0, first, first + m))
+                continue
             windows: list[list[int]] = []
             for s in sorted(starts):
                 a, b = max(0, s - e), s + m + e
@@ -131,8 +137,6 @@ class Matcher:
                     continue
                 size = best_end(back, m, part[:end][::-1], anchored=True)[1]
                 start, stop = a + end - size, a + end
-                if e == 0 and (start and text[start - 1].isalnum() and item[0].isalnum() or stop < len(text) and text[stop].isalnum() and item[-1].isalnum()):
-                    continue  # a short item must not lie inside a word
                 best = (i, d, start, stop)
             if best:
                 out.append(best)
