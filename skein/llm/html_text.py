@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import map_batches, share_of
 
 #: The fit reads at most so many pages, those with the smallest hash of their url or id.
 FIT_PAGES = 400
@@ -164,8 +164,7 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     n = usable.count()
     if not n:
         return Weights()
-    share = min(1 << 20, int((1 << 20) * rows / n) + 1)
-    picked = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share).select(id_col, html_col)
+    picked = usable.where(share_of(F.col(id_col), rows, n)).select(id_col, html_col)
     return learn([r[1] for r in sorted(picked.collect(), key=lambda r: (str(r[0]), r[1]))])
 
 

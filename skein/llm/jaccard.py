@@ -365,12 +365,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Sets are the distinct 5-word shingles of the text (A-Z lowered); with fewer words the whole sequence is one.
     Two documents link when 100 * intersection >= 80 * union. Exact: every link is found, whatever the size of a
     group. Null and empty texts, and texts without words, have size 0 and are their own component. Rows with a
-    repeated id are told apart by their sets. An empty table gives no rows. Further columns are not read.
+    repeated id are told apart by their sets. A row without id has its size, but no component and no link. An empty
+    table gives no rows. Further columns are not read.
     """
     described = materialize(describe_sets(docs, id_col, text_col), "sets")
-    rows = described.where("chunk is null").select(id_col, "n", "sid")
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = described.where("chunk is null").select(id_col, "n", F.when(F.col(id_col).isNotNull(), F.col("sid")).alias("sid"))
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias("rep"), F.max("n").alias("n"))
-    bitmaps = described.where("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
+    bitmaps = described.where(F.col("sid").isNotNull() & F.col(id_col).isNotNull()).groupBy("sid").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
     edges = materialize(candidate_edges(docs, bitmaps, frequencies(described), text_col), "candidates")
     groups = materialize(components(edges), "groups")
     discard(edges)
@@ -385,11 +387,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, with all their columns.
 
-    Rows that repeat an id and a text count as one document, of which one row stays.
+    Rows that repeat an id and a text count as one document, of which one row stays. Rows without id all stay.
     """
     classes = materialize(jaccard_components(docs, id_col, text_col), "classes")
     keep = classes.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
     kept = docs.join(keep.select(id_col), id_col, "left_semi").select(docs.columns)
     if keep.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col, text_col])
-    return kept
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, held_out, map_batches
+from .shared import WORD, held_out, map_batches, share_of
 
 _WORD = re.compile(WORD)
 #: Rows of the word table, its width, non-zero entries of an index vector, neighbours on each side.
@@ -141,14 +141,13 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> QualityModel:
     """Fit on about ``rows`` labelled rows at most that are not held out; rows are picked by a hash of their id.
 
-    Rows whose label or text is null are left out. Only the picked rows' texts are joined and reach the driver.
+    Rows whose label or text is null are left out; repeated labels of a row count once, different ones each. Only the picked rows' texts are joined and reach the driver.
     """
-    usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_y"))
+    usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_y")).distinct()
     n = usable.count()
     if not n:
         return QualityModel()
-    share = min(1 << 20, int((1 << 20) * rows / n))
-    hashed = lambda df: df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share)
+    hashed = lambda df: df.where(share_of(F.col(id_col), rows, n))
     picked = hashed(docs.select(id_col, text_col).where(F.col(text_col).isNotNull())).join(hashed(usable), id_col)
     got = sorted(((r[0], r[1], r[2]) for r in picked.select(id_col, text_col, "_y").collect()), key=lambda r: (str(r[0]), r[1], r[2]))
     return QualityModel().fit([r[1] for r in got], [r[2] for r in got])

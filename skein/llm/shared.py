@@ -106,6 +106,11 @@ def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == HELD_OUT
 
 
+def share_of(key, rows: int, n: int):
+    """Column: the row is one of about ``rows`` of ``n``, picked by a hash of ``key``; 62 bits tell any number apart."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 62)) < (1 << 62) * rows // max(n, rows)
+
+
 def bitmap_filter(df: DataFrame, key, small: DataFrame, small_key, bits: int = 22) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``small``: a semi-join reduction before a shuffle.
 

@@ -208,6 +208,14 @@ def test_jaccard(spark, monkeypatch, paired):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, text), (4, text), (None, "another text that stands alone here"), (2, text + " x")], "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["component_id"]) for x in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(None, None), (None, None), (4, 2), (2, 2)], key=str)
+    assert sorted((x["doc_id"] for x in jaccard.one_of_each(df).collect()), key=str) == [2, None, None]
+
+
 def test_meetings(monkeypatch):
     import numpy as np
 
@@ -254,6 +262,16 @@ def test_quality_model(spark):
     assert quality_model.fit_quality(docs, labels.limit(0)).probability(model.pool(quality_model.word_rows("", quality_model._Rows()))[None])[0] == 0.5
 
 
+def test_quality_model_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("score", F.lit(1))
+    once, twice = quality_model.fit_quality(docs, labels), quality_model.fit_quality(docs, labels.unionByName(labels))
+    score = lambda m, d: sorted(map(tuple, quality_model.score_documents(d, m).collect()))
+    assert score(once, docs) == score(twice, docs)
+    some = docs.limit(3).cache()
+    assert score(once, some.unionByName(some)) == sorted(score(once, some) * 2) and not score(once, docs.limit(0))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -77,6 +77,13 @@ def test_secret_structures():
     assert not secret_scan.confirmed_spans("Q" * 80 + " " + "ab" * 40)
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "eyJ." * 100_000, "A" * 500_000, "ab" * 300_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 9000 + "-----END PRIVATE KEY-----"])
+def test_secrets_take_linear_time(text):
+    began = time.perf_counter()
+    secret_scan.scan_text(text)
+    assert time.perf_counter() - began < 5
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -255,6 +262,13 @@ def best_part(item, text):
     return min(p)
 
 
+def test_leaks_of_short_items(spark):
+    df = spark.createDataFrame([(0, "xgo!go!"), (1, "xgo!"), (2, "Go!"), (2, "Go!")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "go!"), (7, "go!")], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["distance"], x["start"], x["end"]) for x in decontam.find_leaks(df, bench).collect())
+    assert got == [(0, 7, 0, 4, 7), (2, 7, 0, 0, 3), (2, 7, 0, 0, 3)]
+
+
 def test_leaks(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
