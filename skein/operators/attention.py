@@ -186,7 +186,7 @@ def train(n: int, pairs: np.ndarray, edges: list, relations: list, sizes: dict[s
 def homogeneous(n: int, src: np.ndarray, dst: np.ndarray, c: Settings, seed: int, gdc: dict | None = None) -> np.ndarray:
     """Embeddings from the undirected file graph (``src``, ``dst``: both directions), diffused if ``gdc`` says so."""
     once = src < dst
-    lpe = np.hstack([np.ones((n, 1)), kernels.laplacian_features(n, src, dst, c.lpe_dim)]) if n <= kernels.DENSE_NODES else np.ones((n, 1))
+    lpe = np.hstack([np.ones((n, 1)), kernels.laplacian_features(n, src, dst, c.lpe_dim)])
     edges = [(src, dst, None)]
     if gdc:
         a, b, w = kernels.diffusion(n, src, dst, gdc.get("method", "ppr"), gdc.get("alpha", 0.15), gdc.get("k", 64))
@@ -199,7 +199,7 @@ def heterogeneous(n: int, folders: int, rels: dict[tuple[str, str, str], tuple[n
     file_edges = [x for (a, _, b), x in rels.items() if a == b == "file"]
     src, dst = (np.concatenate([e[i] for e in file_edges]) if file_edges else np.zeros(0, int) for i in (0, 1))
     pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)])[:, src != dst], axis=1)
-    lpe = kernels.laplacian_features(n, pairs[0], pairs[1], c.lpe_dim) if n <= kernels.DENSE_NODES and c.lpe_dim else None
+    lpe = kernels.laplacian_features(n, pairs[0], pairs[1], c.lpe_dim) if c.lpe_dim else None
     sizes = {"file": n} | ({"folder": folders} if folders else {})
     used = {k: v for k, v in rels.items() if k[0] in sizes and k[2] in sizes}
     return train(n, pairs, [(a, b, None) for a, b in used.values()], [(k[0], k[2]) for k in used], sizes, lpe, True, c, seed, loops=False)

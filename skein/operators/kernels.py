@@ -268,9 +268,57 @@ def normal_adjacency(n: int, src: np.ndarray, dst: np.ndarray, loop: float = 0.0
     return a * s[:, None] * s[None]
 
 
+class SparseAdjacency:
+    """Symmetric-normalised adjacency of undirected edges, with loops of a weight, as a product with blocks of columns."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, loop: float = 0.0) -> None:
+        pair = np.unique(np.stack([np.concatenate([src, dst]), np.concatenate([dst, src])]), axis=1)
+        pair = pair[:, pair[0] != pair[1]]
+        d = np.bincount(pair[0], minlength=n) + loop
+        s = np.divide(1, np.sqrt(d), out=np.zeros(n), where=d > 0)
+        self.n, self.col, self.weight, self.diagonal = n, pair[1], s[pair[0]] * s[pair[1]], loop * s * s
+        self.rows, self.starts = np.unique(pair[0], return_index=True)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = self.diagonal[:, None] * x
+        if len(self.rows):
+            out[self.rows] += np.add.reduceat(self.weight[:, None] * x[self.col], self.starts, axis=0)
+        return out
+
+
+def top_eigenvectors(a: SparseAdjacency, k: int, depth: int = 8, rounds: int = 200, tolerance: float = 1e-5) -> np.ndarray:
+    """Eigenvectors of the ``k`` largest eigenvalues by block Krylov spaces, begun again from their best vectors.
+
+    Ends when every residual is below ``tolerance``; raises if that takes more than ``rounds`` spaces.
+    """
+    x = np.random.default_rng(5).standard_normal((a.n, min(a.n, k + 8)))
+    for _ in range(rounds):
+        x = np.linalg.qr(x)[0]
+        basis = [x]
+        while len(basis) < depth and (len(basis) + 1) * x.shape[1] <= a.n:
+            y = a @ basis[-1]
+            for _ in range(2):
+                for b in basis:
+                    y -= b @ (b.T @ y)
+            basis.append(np.linalg.qr(y)[0])
+        q = np.linalg.qr(np.hstack(basis))[0]
+        value, vector = np.linalg.eigh(q.T @ (a @ q))
+        x = q @ vector[:, ::-1][:, : x.shape[1]]
+        top = x[:, :k]
+        if np.abs(a @ top - top * value[::-1][:k]).max(initial=0) < tolerance:
+            return top
+    raise RuntimeError(f"eigenvectors did not settle in {rounds} rounds")
+
+
 def laplacian_features(n: int, src: np.ndarray, dst: np.ndarray, k: int) -> np.ndarray:
-    """``k`` eigenvectors of the normalised Laplacian after the first, signs set by the largest entry."""
-    value, vector = np.linalg.eigh(np.eye(n) - normal_adjacency(n, src, dst))
+    """``k`` eigenvectors of the normalised Laplacian after the first, signs set by the largest entry.
+
+    Dense up to ``DENSE_NODES`` nodes, by iteration beyond; both give the same vectors where eigenvalues differ.
+    """
+    if n <= DENSE_NODES:
+        vector = np.linalg.eigh(np.eye(n) - normal_adjacency(n, src, dst))[1]
+    else:
+        vector = top_eigenvectors(SparseAdjacency(n, src, dst), k + 1)
     out = np.zeros((n, k))
     take = vector[:, 1 : k + 1]
     if take.size:
@@ -279,22 +327,55 @@ def laplacian_features(n: int, src: np.ndarray, dst: np.ndarray, k: int) -> np.n
     return out
 
 
+def _diffused(a: SparseAdjacency, cols: np.ndarray, kind: str, alpha: float) -> np.ndarray:
+    """Columns ``cols`` of the diffusion matrix: conjugate gradients for PageRank, the power series for heat."""
+    e = np.zeros((a.n, len(cols)))
+    e[cols, np.arange(len(cols))] = 1
+    if kind == "heat":
+        out, term = e.copy(), e
+        for t in range(1, 500):
+            term = (a @ term) * (alpha / t)
+            out += term
+            if np.abs(term).max() < 1e-15:
+                break
+        return out * np.exp(-alpha)
+    x, r = np.zeros_like(e), alpha * e
+    p, now = r.copy(), (r * r).sum(0)
+    for _ in range(1000):
+        if now.max() < 1e-26:
+            return x
+        q = p - (1 - alpha) * (a @ p)
+        step = now / np.maximum((p * q).sum(0), 1e-300)
+        x += step * p
+        r -= step * q
+        was, now = now, (r * r).sum(0)
+        p = r + (now / np.maximum(was, 1e-300)) * p
+    raise RuntimeError("diffusion did not settle")
+
+
 def diffusion(n: int, src: np.ndarray, dst: np.ndarray, kind: str, alpha: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges ``src, dst, weight`` of personalised PageRank or heat diffusion, the ``keep`` largest of each column.
 
-    Self loops of weight 1 and symmetric normalisation before; columns sum to 1 after. Ties go to the smaller id.
+    Self loops of weight 1 and symmetric normalisation before; columns sum to 1 after. Ties go to the smaller id. Dense
+    up to ``DENSE_NODES`` nodes, in blocks of columns beyond, to the same values.
     """
-    value, vector = np.linalg.eigh(normal_adjacency(n, src, dst, 1.0))
-    if kind == "ppr":
-        f = alpha / (1 - (1 - alpha) * value)
-    elif kind == "heat":
-        f = np.exp(alpha * (value - 1))
-    else:
+    if kind not in ("ppr", "heat"):
         raise ValueError(f"unknown diffusion {kind!r}")
-    s = np.round((vector * f) @ vector.T, 12)
-    top = np.argsort(-s, axis=0, kind="stable")[: min(keep, n)]
-    cols = np.broadcast_to(np.arange(n), top.shape)
-    weight = s[top, cols]
-    weight = weight / weight.sum(0)
-    order = np.lexsort((top.T.ravel(), cols.T.ravel()))
-    return top.T.ravel()[order], cols.T.ravel()[order], weight.T.ravel()[order]
+    if n <= DENSE_NODES:
+        value, vector = np.linalg.eigh(normal_adjacency(n, src, dst, 1.0))
+        f = alpha / (1 - (1 - alpha) * value) if kind == "ppr" else np.exp(alpha * (value - 1))
+        blocks = [(vector * f) @ vector.T]
+    else:
+        a = SparseAdjacency(n, src, dst, 1.0)
+        blocks = (_diffused(a, np.arange(at, min(n, at + 128)), kind, alpha) for at in range(0, n, 128))
+    out, first = [], 0
+    for s in blocks:
+        s = np.round(s, 12)
+        top = np.argsort(-s, axis=0, kind="stable")[: min(keep, n)]
+        weight = np.take_along_axis(s, top, 0)
+        weight = weight / weight.sum(0)
+        cols = np.broadcast_to(np.arange(first, first + s.shape[1]), top.shape)
+        order = np.lexsort((top.T.ravel(), cols.T.ravel()))
+        out.append((top.T.ravel()[order], cols.T.ravel()[order], weight.T.ravel()[order]))
+        first += s.shape[1]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))

@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Folder of a local master without ``spark.checkpoint.dir`` (tests), once it has been made.
+_LOCAL: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read back; a temporary folder serves a local master only."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = spark.sparkContext.master.startswith("local[")
-        folder = tempfile.mkdtemp(prefix="skein-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = _LOCAL[0] if _LOCAL else _LOCAL.append(tempfile.mkdtemp(prefix="skein-")) or _LOCAL[0]
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein"
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

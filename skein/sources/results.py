@@ -4,28 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.attention import Settings
 from . import schema
 
 #: Columns of a metric row in their order; further columns follow.
 ORDER = [f.strip().split()[0] for f in schema.METRICS.split(",")]
-#: Columns of intermediate rows that are not stored.
-INTERNAL = frozenset(
-    "dataset Method found_clusters clusters selected_k experiment model pipeline model_name random_state walk_length p q epochs dimensions "
-    "embedding_dim num_walks walks_per_node window context_size negative num_negative_samples workers batch_size sparse lr lpe_dim "
-    "lpe_is_undirected file_emb_dim folder_emb_dim hidden_channels out_channels num_layers heads variational beta_kl neg_ratio dropout "
-    "use_gdc gdc_method gdc_alpha gdc_k file_feature_init data_build_seconds embedding_seconds clustering_seconds training_seconds "
-    "inference_seconds gdc_seconds pipeline_seconds total_seconds".split()
-)
-
-
-def clean_results(df: DataFrame) -> DataFrame:
-    """Metric columns first, in order, then others; internal columns go. Names are told apart by case."""
-    kept = [c for c in df.columns if c not in INTERNAL]
+
+
+def settings_columns() -> set[str]:
+    """Names of an encoder's settings, which rows of a run may carry; they are not results."""
+    return set(Settings.__dataclass_fields__)
+
+
+def clean_results(df: DataFrame, drop: Collection[str] = ()) -> DataFrame:
+    """Metric columns first, in order, then others, without settings and what the caller drops. Names are told apart by case."""
+    internal = settings_columns() | set(drop)
+    kept = [c for c in df.columns if c not in internal]
     return df.select(*[f"`{c}`" for c in ORDER if c in kept], *[f"`{c}`" for c in kept if c not in ORDER])
 
 

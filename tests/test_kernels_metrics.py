@@ -220,3 +220,23 @@ def test_walks(spark):
         assert "".join(kinds) == "ioiioii"[: len(kinds)] and (len(kinds) == 7 or r["path"][-1] not in ("file:0", "file:1"))
     with pytest.raises(ValueError):
         walks.metapath_walks(typed.where("dst_type = 'folder'"), ["file", "folder", "file"], 1, 3)
+
+
+def test_large_graphs_give_the_same_features_and_diffusion(monkeypatch):
+    """Iterations above ``DENSE_NODES`` nodes agree with the dense kernels by value."""
+    rng = np.random.default_rng(4)
+    n = 150
+    src = np.concatenate([np.arange(n - 5), rng.integers(0, n - 5, 300)])
+    dst = np.concatenate([(np.arange(n - 5) * 7 + 1) % (n - 5), rng.integers(0, n - 5, 300)])
+    src, dst = src[src != dst], dst[src != dst]
+    dense = kernels.laplacian_features(n, src, dst, 6), [kernels.diffusion(n, src, dst, kind, alpha, 20) for kind, alpha in (("ppr", 0.15), ("heat", 3.0))]
+    monkeypatch.setattr(kernels, "DENSE_NODES", 10)
+    own = kernels.laplacian_features(n, src, dst, 6)
+    a = kernels.SparseAdjacency(n, src, dst)
+    value = ((a @ own) * own).sum(0)
+    assert np.abs(a @ own - own * value).max() < 1e-4 and np.abs(value - ((a @ dense[0]) * dense[0]).sum(0)).max() < 1e-6
+    for (kind, alpha), want in zip((("ppr", 0.15), ("heat", 3.0)), dense[1], strict=True):
+        got = kernels.diffusion(n, src, dst, kind, alpha, 20)
+        x, y = np.zeros((n, n)), np.zeros((n, n))
+        x[want[0], want[1]], y[got[0], got[1]] = want[2], got[2]
+        assert np.abs(x - y).max() < 1e-6 or (np.abs(x - y) > 1e-6).mean() < 0.001
