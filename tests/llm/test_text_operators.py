@@ -77,6 +77,76 @@ def test_secret_structures():
     assert not secret_scan.confirmed_spans("Q" * 80 + " " + "ab" * 40)
 
 
+def _value(tag, body):
+    size = len(body)
+    return bytes([tag]) + (bytes([size]) if size < 128 else b"\x82" + size.to_bytes(2, "big")) + body
+
+
+def _keys(r):
+    """A key of each kind, as DER: RSA, curve, their wrapped forms, octets, an integer, encrypted."""
+    number = lambda n: _value(2, b"\x01" + r.randbytes(n))
+    sequence = lambda *x: _value(0x30, b"".join(x))
+    version, oid = _value(2, b"\0"), lambda x: _value(6, bytes.fromhex(x))
+    rsa = sequence(version, *[number(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)])
+    curve = sequence(_value(2, b"\1"), _value(4, r.randbytes(32)), _value(0xA0, oid("2a8648ce3d030107")))
+    yield "rsa", rsa
+    yield "curve", curve
+    yield "dsa", sequence(version, *[number(n) for n in (64, 20, 64, 64, 20)])
+    yield "rsa8", sequence(version, sequence(oid("2a864886f70d010101"), _value(5, b"")), _value(4, rsa))
+    yield "curve8", sequence(version, sequence(oid("2a8648ce3d0201"), oid("2a8648ce3d030107")), _value(4, curve))
+    yield "ed25519", sequence(version, sequence(oid("2b6570")), _value(4, _value(4, r.randbytes(32))))
+    yield "dsa8", sequence(version, sequence(oid("2a8648ce380401")), _value(4, number(20)))
+    yield "sealed8", sequence(sequence(oid("2a864886f70d01050d"), sequence(version)), _value(4, r.randbytes(96)))
+
+
+def test_secrets_recall():
+    """Keys of every kind in every form are found as one span each; the same bytes with one length changed never are."""
+    r, found, planted = random.Random(4), 0, 0
+    for _ in range(12):
+        for _, key in _keys(r):
+            plain = base64.b64encode(key).decode()
+            lines = "\n".join(plain[k : k + 64] for k in range(0, len(plain), 64))
+            forms = [plain, base64.urlsafe_b64encode(key).decode(), key.hex(), key.hex().upper(), f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----", lines, lines.replace("\n", "\r\n  ")]
+            for form in forms:
+                before = r.choice(["", "the key is ", "x\n"])
+                if "\n" in form and not form.startswith("--"):
+                    before = "some words\n"
+                spans = secret_scan.confirmed_spans(f"{before}{form} and")
+                planted += 1
+                found += [x[:2] for x in spans] == [(len(before), len(before) + len(form))]
+            broken = bytearray(key)
+            broken[2 if key[1] == 0x82 else 1] ^= 1
+            assert not secret_scan.confirmed_spans(base64.b64encode(bytes(broken)).decode())
+    assert found == planted
+    # octets of another length than the algorithm's, and a sealed block without a known cipher, are no keys
+    wrong = _value(0x30, _value(2, b"\0") + _value(0x30, _value(6, bytes.fromhex("2b6570"))) + _value(4, _value(4, bytes(31))))
+    assert not secret_scan.is_der_key(wrong)
+    seal = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {}\n\n" + base64.b64encode(bytes(64)).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert [len(secret_scan.confirmed_spans(seal.format(x))) for x in ("AES-128-CBC," + "0" * 32, "AES-128-CBC,00", "ROT-13,00", "")] == [1, 0, 0, 0]
+
+
+def test_secrets_survive_crafted_input(spark):
+    enc = lambda x: base64.urlsafe_b64encode(x if isinstance(x, bytes) else x.encode()).rstrip(b"=").decode()
+    heads = ['{"alg":[1]}', '{"alg":{}}', '{"alg":null}', '{"alg":1}', '{"a":' + "[" * 100_000, '{"a":' * 50_000, "[]", '"x"', '{"alg":"HS256"}', '{"alg":"HS256","a":' + "9" * 5000 + "}", "{", "\xff", '{"alg":"none"}', '{"alg":NaN}']
+    tokens = [f"{enc(a)}.{enc(b)}.{enc(bytes(32))}" for a in heads for b in heads]
+    rows = [(i, "eyJ " + t, 1) for i, t in enumerate(tokens)]
+    assert secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans int")).count() == len(rows)
+    r = random.Random(9)
+    keys = [k for _, k in _keys(r)]
+    for n in range(10_000):
+        if n % 3 == 0:
+            blob = bytearray(r.choice(keys))
+            for _ in range(r.randint(1, 4)):
+                blob[r.randrange(min(len(blob), 40))] = r.choice([0, 1, 2, 4, 6, 0x30, 0x80, 0x81, 0x84, 0x85, 0xFF, r.randrange(256)])
+            secret_scan.scan_text(base64.b64encode(bytes(blob)[: r.randint(1, len(blob))]).decode())
+        elif n % 3 == 1:
+            secret_scan.is_der_key(b"\x30" + r.randbytes(r.randint(0, 60)))
+            secret_scan.is_ssh_key(b"openssh-key-v1\0" + r.randbytes(r.randint(0, 60)))
+        else:
+            head = '{"alg":' + "".join(r.choice('[]{}",:1a\\ ') for _ in range(r.randint(0, 12))) + r.choice(["}", ""])
+            secret_scan.is_signed_token(f"{enc(head)}.{enc(head)}.{enc(b'x')}")
+
+
 @pytest.mark.parametrize("text", ["eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "eyJ." * 100_000, "A" * 500_000, "ab" * 300_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 9000 + "-----END PRIVATE KEY-----"])
 def test_secrets_take_linear_time(text):
     began = time.perf_counter()
