@@ -82,8 +82,8 @@ class Encoder:
         self.table = {t: ad.Var(rng.normal(0, 0.1, (n, c.file_emb_dim if t == "file" else c.folder_emb_dim))) for t, n in sizes.items()}
         self.fixed: dict[str, ad.Var] = {}
         widths = {t: self.table[t].value.shape[1] + dims.get(t, 0) for t in sizes}
-        # types may differ in width: one projection each brings them to the hidden width
-        same = len(set(widths.values())) == 1
+        # types may differ in width, or keep it where no relation leads to them: one projection each brings them to the hidden width
+        same = len(set(widths.values())) == 1 and (set(sizes) <= {b for _, b in relations} or set(widths.values()) == {c.hidden_channels})
         self.project = {} if same else {t: ad.Var(rng.normal(0, np.sqrt(1 / w), (w, c.hidden_channels))) for t, w in widths.items()}
         width = next(iter(widths.values())) if same else c.hidden_channels
         make = lambda a, b: [Attention(rng, a, b, c.heads, edge, loops) for _ in relations]
@@ -103,14 +103,14 @@ class Encoder:
             out[b] = out[b] + z if b in out else z
         return out
 
-    def __call__(self, edges: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]], pick: np.ndarray | None = None) -> tuple[ad.Var, ad.Var]:
-        """Mean and log-deviation of the files; ``pick``: the files of a batch, whose edges use places in it."""
+    def __call__(self, edges: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]], pick: dict[str, np.ndarray] | None = None) -> tuple[ad.Var, ad.Var]:
+        """Mean and log-deviation of the files; ``pick``: a batch's nodes by type, whose edges use places in them."""
         x = {}
+        part = lambda v, t: ad.gather(v, pick[t]) if pick is not None else v
         for t, v in self.table.items():
-            v = ad.gather(v, pick) if pick is not None and t == "file" else v
+            v = part(v, t)
             if t in self.fixed:
-                f = self.fixed[t]
-                v = ad.concat([ad.gather(f, pick) if pick is not None and t == "file" else f, v])
+                v = ad.concat([part(self.fixed[t], t), v])
             x[t] = v @ self.project[t] if self.project else v
         for layer in self.layers:
             x = {**x, **{t: ad.elu(v) for t, v in self._layer(layer, x, edges).items()}}
@@ -128,13 +128,46 @@ def decode_loss(z: ad.Var, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> a
     return ad.total(ad.softplus(dot * (1 - 2 * label))) * (1 / len(a))
 
 
-def _negatives(rng: np.random.Generator, n: int, count: int, known: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Random pairs that are no edges and no loops, ``count`` at most."""
-    a, b = rng.integers(0, n, 2 * count), rng.integers(0, n, 2 * count)
-    ok = np.array([i != j and int(i) * n + int(j) not in known for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+def _negatives(rng: np.random.Generator, ids: np.ndarray, n: int, count: int, known: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of places in ``ids`` (of ``n`` nodes) that are no edges and no loops, ``count`` at most."""
+    a, b = rng.integers(0, len(ids), 2 * count), rng.integers(0, len(ids), 2 * count)
+    ok = np.array([i != j and i * n + j not in known for i, j in zip(ids[a].tolist(), ids[b].tolist(), strict=True)], bool)
     return a[ok][:count], b[ok][:count]
 
 
+class Neighbours:
+    """Incoming edges by relation, of which a batch takes a bounded sample."""
+
+    def __init__(self, edges: list, relations: list[tuple[str, str]], sizes: dict[str, int]) -> None:
+        self.edges, self.relations, self.sizes = edges, relations, sizes
+        self.order = [np.argsort(dst, kind="stable") for _, dst, _ in edges]
+        self.start = [np.searchsorted(dst[o], np.arange(sizes[b] + 1)) for (_, dst, _), o, (_, b) in zip(edges, self.order, relations, strict=True)]
+
+    def sample(self, rng: np.random.Generator, files: np.ndarray, hops: int, fanout: int) -> tuple[dict[str, np.ndarray], list]:
+        """Nodes by type that ``hops`` steps back from ``files`` reach, and the edges among their places.
+
+        Each node takes part with ``fanout`` edges of each relation at most. A type that is not reached has its first
+        node, without edges, so that every type has a row.
+        """
+        seen = {t: np.zeros(0, int) for t in self.sizes} | {"file": files}
+        front, used = {"file": files}, [[np.zeros(0, int)] for _ in self.edges]
+        for _ in range(hops):
+            found: dict[str, list[np.ndarray]] = {}
+            for r, (a, b) in enumerate(self.relations):
+                for i in front.get(b, ()):
+                    got = self.order[r][self.start[r][i] : self.start[r][i + 1]]
+                    got = got if len(got) <= fanout else rng.choice(got, fanout, replace=False)
+                    used[r].append(got)
+                    found.setdefault(a, []).append(self.edges[r][0][got])
+            front = {t: np.setdiff1d(np.concatenate(x), seen[t]) for t, x in found.items()}
+            seen |= {t: np.union1d(seen[t], x) for t, x in front.items()}
+        out = []
+        for (src, dst, w), (a, b), parts in zip(self.edges, self.relations, used, strict=True):
+            e = np.unique(np.concatenate(parts))
+            out.append((np.searchsorted(seen[a], src[e]), np.searchsorted(seen[b], dst[e]), None if w is None else w[e]))
+        return {t: x if len(x) else np.zeros(1, int) for t, x in seen.items()}, out
+
+
 def train(n: int, pairs: np.ndarray, edges: list, relations: list, sizes: dict[str, int], lpe: np.ndarray | None, free_lpe: bool, c: Settings, seed: int, loops: bool = True) -> np.ndarray:
     """Embeddings of the files: ``pairs`` (2 x m, undirected once) are decoded, ``edges`` carry messages."""
     rng = np.random.default_rng(seed)
@@ -147,11 +180,10 @@ def train(n: int, pairs: np.ndarray, edges: list, relations: list, sizes: dict[s
     for i, j in pairs.T.tolist():
         known |= {i * n + j, j * n + i}
 
-    def step(batch: np.ndarray, use: list, pick: np.ndarray | None) -> None:
-        size = n if pick is None else len(pick)
+    def step(batch: np.ndarray, use: list, pick: dict[str, np.ndarray] | None) -> None:
         mean, spread = net(use, pick)
         z = mean + ad.exp(spread) * rng.normal(size=mean.value.shape) if c.variational else mean
-        a, b = _negatives(rng, n, max(1, int(batch.shape[1] * c.neg_ratio)), known) if pick is None else (rng.integers(0, size, int(batch.shape[1] * c.neg_ratio)), rng.integers(0, size, int(batch.shape[1] * c.neg_ratio)))
+        a, b = _negatives(rng, np.arange(n) if pick is None else pick["file"], n, max(1, int(batch.shape[1] * c.neg_ratio)), known)
         label = np.concatenate([np.ones(batch.shape[1]), np.zeros(len(a))])
         loss = decode_loss(z, np.concatenate([batch[0], a]), np.concatenate([batch[1], b]), label)
         if c.variational:
@@ -161,25 +193,14 @@ def train(n: int, pairs: np.ndarray, edges: list, relations: list, sizes: dict[s
 
     if not pairs.shape[1]:
         return net(edges)[0].value
+    near = Neighbours(edges, relations, sizes)
     for _ in range(c.epochs):
-        if n <= c.batch_files or len(relations) > 1:
+        if n <= c.batch_files:
             step(pairs, edges, None)
             continue
-        src, dst, w = edges[0]
-        order = np.argsort(dst, kind="stable")
-        start = np.searchsorted(dst[order], np.arange(n + 1))
         for part in np.array_split(rng.permutation(pairs.shape[1]), max(1, pairs.shape[1] // c.batch_size)):
-            batch = pairs[:, part]
-            seen, front, used = np.unique(batch), np.unique(batch), []
-            for _ in range(c.num_layers):
-                got = [order[start[i] : start[i + 1]] for i in front]
-                got = np.concatenate([g if len(g) <= c.fanout else rng.choice(g, c.fanout, replace=False) for g in got]) if got else np.zeros(0, int)
-                used.append(got)
-                front = np.setdiff1d(src[got], seen)
-                seen = np.union1d(seen, front)
-            e = np.unique(np.concatenate(used))
-            at = np.searchsorted(seen, np.stack([src[e], dst[e]]))
-            step(np.searchsorted(seen, batch), [(at[0], at[1], None if w is None else w[e])], seen)
+            pick, use = near.sample(rng, np.unique(pairs[:, part]), c.num_layers, c.fanout)
+            step(np.searchsorted(pick["file"], pairs[:, part]), use, pick)
     return net(edges)[0].value
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.store import materialize
 from ..sources.tables import normalize_columns
+from .ranks import global_rank
 
 #: Fixed value: folder of files that lie in no other folder.
 ROOT_FOLDER = "__m2v_root__"
@@ -132,16 +134,21 @@ def common_tokens(vertices: DataFrame) -> DataFrame:
 
 def folders(vertices: DataFrame) -> DataFrame:
     """``folder_id, folder``: every prefix of a file's tokens, ranked by name."""
-    names = _tokens(vertices).select(F.explode(T.prefixes(F.col("tokens"))).alias("folder")).distinct()
-    marked = names.withColumn("_b", F.substring("folder", 1, 24))
-    before = marked.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("folder")) - 1)
-    return inside.join(before.drop("_n"), "_b").select((F.col("_before") + F.col("_r")).cast("long").alias("folder_id"), "folder")
+    return _folders(_tokens(vertices))
+
+
+def _folders(tokens: DataFrame) -> DataFrame:
+    names = tokens.select(F.explode(T.prefixes(F.col("tokens"))).alias("folder")).distinct()
+    return global_rank(names, ["folder"], "folder_id").select("folder_id", "folder")
 
 
 def contains(vertices: DataFrame, folder: DataFrame) -> DataFrame:
     """``src`` (folder), ``dst`` (file): the deepest folder of each file; files in none have no edge."""
-    deepest = _tokens(vertices).where(F.size("tokens") > 0).select(F.col("id").alias("dst"), F.array_join("tokens", "/").alias("folder"))
+    return _contains(_tokens(vertices), folder)
+
+
+def _contains(tokens: DataFrame, folder: DataFrame) -> DataFrame:
+    deepest = tokens.where(F.size("tokens") > 0).select(F.col("id").alias("dst"), F.array_join("tokens", "/").alias("folder"))
     return deepest.join(folder, "folder").select(F.col("folder_id").alias("src"), "dst")
 
 
@@ -153,9 +160,10 @@ def parent_of(folder: DataFrame) -> DataFrame:
 
 def heterogeneous(vertices: DataFrame, rows: DataFrame, collapse: bool = True) -> DataFrame:
     """``src_type, rel, dst_type, src, dst``: folder tree, folder to file, and file relations (self loops kept)."""
-    folder = folders(vertices)
+    tokens = materialize(_tokens(vertices), "tokens")
+    folder = materialize(_folders(tokens), "folders")
     typed = lambda df, a, rel, b: df.select(F.lit(a).alias("src_type"), rel.alias("rel"), F.lit(b).alias("dst_type"), "src", "dst")
-    return typed(contains(vertices, folder), "folder", F.lit("contains"), "file").unionByName(typed(parent_of(folder), "folder", F.lit("parent_of"), "folder")).unionByName(typed(relations(rows, collapse), "file", F.col("rel"), "file"))
+    return typed(_contains(tokens, folder), "folder", F.lit("contains"), "file").unionByName(typed(parent_of(folder), "folder", F.lit("parent_of"), "folder")).unionByName(typed(relations(rows, collapse), "file", F.col("rel"), "file"))
 
 
 def metapath(vertices: DataFrame, rows: DataFrame) -> DataFrame:
@@ -163,12 +171,11 @@ def metapath(vertices: DataFrame, rows: DataFrame) -> DataFrame:
 
     Files in no folder hang on one made up for them. Folder ids are ranks by name.
     """
-    place = _tokens(vertices).select("id", F.when(F.size("tokens") > 0, F.array_join("tokens", "/")).otherwise(F.lit(ROOT_FOLDER)).alias("folder"))
-    names = _tokens(vertices).select(F.explode(T.prefixes(F.col("tokens"))).alias("folder")).unionByName(place.where(F.col("folder") == ROOT_FOLDER).select("folder")).distinct()
-    from .prepare import member_ids
-
-    ids = member_ids(names, "folder").withColumnRenamed("Member_ID", "folder_id")
-    held = place.join(ids, "folder").select("id", "folder_id")
+    tokens = materialize(_tokens(vertices), "tokens")
+    place = tokens.select("id", F.when(F.size("tokens") > 0, F.array_join("tokens", "/")).otherwise(F.lit(ROOT_FOLDER)).alias("folder"))
+    names = tokens.select(F.explode(T.prefixes(F.col("tokens"))).alias("folder")).unionByName(place.where(F.col("folder") == ROOT_FOLDER).select("folder")).distinct()
+    ids = global_rank(names, ["folder"], "folder_id")
+    held = materialize(place.join(ids, "folder").select("id", "folder_id"), "places")
     typed = lambda df, a, b, x, y: df.select(F.lit(a).alias("src_type"), F.lit(b).alias("dst_type"), F.col(x).alias("src"), F.col(y).alias("dst"))
     return typed(held, "file", "folder", "id", "folder_id").unionByName(typed(held, "folder", "file", "folder_id", "id")).unionByName(typed(undirected(rows), "file", "file", "src", "dst"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.labels import Labels
+from .ranks import global_rank
+from .rules import modules_found
 
 #: Columns that tell two entity rows apart.
 ENTITY_KEY = ("File", "Entity", "Member_ID", "Member_Name", "Member_Type")
@@ -76,12 +78,8 @@ def extract_entities(model: DataFrame, language: str) -> DataFrame:
 
 
 def member_ids(keys: DataFrame, key: str) -> DataFrame:
-    """Rank of distinct texts from 0, as ``Member_ID``: texts are ranked inside the buckets of their first characters,
-    and buckets are counted before, so that no task sorts all of them."""
-    marked = keys.withColumn("_b", F.substring(key, 1, 24))
-    before = marked.groupBy("_b").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return marked.withColumn("_r", inside).join(before, "_b").select(key, (F.col("_before") + F.col("_r")).cast("long").alias("Member_ID"))
+    """Rank of distinct texts from 0, as ``Member_ID``."""
+    return global_rank(keys.select(key), [key], "Member_ID")
 
 
 def extract_dependencies(model: DataFrame, entities: DataFrame) -> DataFrame:
@@ -129,14 +127,11 @@ def match_entities(df: DataFrame, truth: DataFrame) -> DataFrame:
 def match_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """``_truth``: modules of all rules whose pattern is found in the entity, else in the file; in rule order.
 
-    Rules are a small, stated set, so they become one expression per row and no join: nothing is shuffled.
+    Rules are a stated set that each task holds (see :mod:`skein.operators.rules`): no join, and nothing is shuffled.
     """
-
-    def found(c: Column) -> Column:
-        hits = [F.when((c != "") & c.rlike(p), F.lit(m)) for m, p in rules]
-        return F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
-
-    return df.withColumn("_truth", first_filled(*[T.let(T.clean_path(F.col(c)), found) for c in ("Entity", "File")]))
+    if not rules:
+        return df.withColumn("_truth", F.array().cast("array<string>"))
+    return df.withColumn("_truth", first_filled(*[modules_found(T.clean_path(F.col(c)), rules) for c in ("Entity", "File")]))
 
 
 def first_filled(*lists: Column) -> Column:

@@ -6,12 +6,15 @@ walk and the step, so a rerun gives the same walks whatever the partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import materialize
+from .ranks import rank_in_group
 
 
 def _draw(*parts):
@@ -125,3 +128,80 @@ def walk_embeddings(walks: DataFrame, n_of: DataFrame, dims: int = 128, window:
         return pd.DataFrame({"dataset": key[0], "id": np.arange(n), "embedding": list(x.astype(np.float32))})
 
     return walks.join(F.broadcast(n_of), "dataset").groupBy("dataset").applyInPandas(run, "dataset string, id long, embedding array<float>")
+
+
+#: Neighbours that a walk proposes at once before they are looked at.
+PROPOSALS = 8
+
+
+def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
+    """``walk, path`` as :func:`random_walks`, by rejection: a step costs a walk a few rows, however many neighbours a
+    node has.
+
+    A neighbour is proposed by its rank among the node's neighbours, drawn evenly, and accepted with its weight (1/p for
+    going back, 1 for a common neighbour, 1/q else) over the largest of the three; ``PROPOSALS`` at once, the first that
+    is accepted counts, and walks without one propose again. So accepted neighbours have exactly the biased law. A node
+    with one neighbour needs no draw. Ranks are taken over ranges, and rows meet by (node, rank) or by (previous, next):
+    neither a hub's neighbours nor the walks that stand on it meet in one task. A node that ``edges`` name twice as a
+    neighbour counts once. ``vertices`` and ``edges`` may be empty; a walk of a node without edges is that node.
+    """
+    hops = rank_in_group(edges.select("src", "dst").distinct(), ["src"], ["dst"], "k", "n")
+    sizes = hops.where("k = 0").select(F.col("src").alias("dst"), F.col("n").alias("m"))
+    # each neighbour with the number of its own ones, so a walk knows how many there are where it arrives
+    hops = materialize(hops.join(sizes, "dst", "left").select("src", "k", "dst", F.coalesce("m", F.lit(0)).alias("m")), "hops")
+    start = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("r"))
+    first = start.join(sizes.withColumnRenamed("dst", "id"), "id", "left")
+    now = materialize(first.select(F.xxhash64(F.lit(seed), "id", "r").alias("walk"), F.lit(None).cast("long").alias("prev"), F.col("id").alias("src"), F.coalesce("m", F.lit(0)).alias("n")), "walks")
+    steps = [now.select("walk", F.lit(0).alias("step"), F.col("src").alias("node"))]
+    even, top = p == 1 and q == 1, max(1 / p, 1.0, 1 / q)
+    near = edges.select(F.col("src").alias("prev"), "dst").distinct().withColumn("near", F.lit(True))
+    for step in range(1, length):
+        moved, todo, base = [], now.where("n > 0"), 0
+        while True:
+            alone = (F.col("n") == 1) | F.lit(even or step == 1)
+            tries = todo.withColumn("t", F.explode(F.when(alone, F.array(F.lit(base))).otherwise(F.sequence(F.lit(base), F.lit(base + PROPOSALS - 1)))))
+            k = F.least(F.floor(_draw(F.lit(seed), "walk", F.lit(step), "t", F.lit("k")) * F.col("n")), F.col("n") - 1)
+            found = tries.withColumn("k", k).join(hops, ["src", "k"])
+            if not (even or step == 1):
+                weight = F.when(F.col("dst") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+                found = found.join(near, ["prev", "dst"], "left").where(alone | (_draw(F.lit(seed), "walk", F.lit(step), "t", F.lit("u")) * top <= weight))
+            picked = materialize(found.groupBy("walk").agg(F.min_by(F.struct(F.col("src").alias("prev"), F.col("dst").alias("src"), F.col("m").alias("n")), "t").alias("to")).select("walk", "to.*"), "steps")
+            moved.append(picked)
+            if even or step == 1:
+                break
+            todo, base = materialize(todo.join(picked.select("walk"), "walk", "left_anti"), "todo"), base + PROPOSALS
+            if not todo.limit(1).count():
+                break
+        now = reduce(DataFrame.unionByName, moved)
+        steps.append(now.select("walk", F.lit(step).alias("step"), F.col("src").alias("node")))
+    # a path has ``length`` nodes at most
+    listed = reduce(DataFrame.unionByName, steps).groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("path"))
+    return listed.select("walk", F.transform("path", lambda x: x["node"]).alias("path"))
+
+
+def sampled_neighbourhood(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0) -> DataFrame:
+    """Bounded subgraphs of typed graphs for mini-batches: ``batch, hop, src_type, rel, dst_type, src, dst``.
+
+    ``edges``: ``src_type, rel, dst_type, src, dst``; ``seeds``: ``batch, type, id``. Hop ``h`` gives each node that the
+    hop before has reached (the seeds at first) up to ``fanouts[h]`` incoming edges of each relation: the edges of a node
+    and relation stand in the order of a hash, and a batch takes so many in a row, from a place that a hash of batch and
+    node names. A node's edges are all taken if they are no more. So a batch holds at most the seeds times the product of
+    fan-outs and relations, and a hub costs its fan-out: rows meet by (node, relation, rank). Draws depend on the seed,
+    the batch and the ids alone. An edge is listed once a batch and hop; a node reached again is not expanded again.
+    """
+    kinds = ["dst_type", "dst", "src_type", "rel"]
+    mixed = edges.distinct().withColumn("h", F.xxhash64(F.lit(seed), *kinds, "src"))
+    ranked = materialize(rank_in_group(mixed, kinds, ["h", "src"], "k", "n").drop("h"), "ranked")
+    groups = materialize(ranked.where("k = 0").select(*kinds, "n"), "groups")
+    reached = materialize(seeds.select("batch", F.col("type").alias("dst_type"), F.col("id").alias("dst")).distinct(), "reached")
+    front, out = reached, []
+    for hop, fan in enumerate(fanouts):
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(hop), "batch", *kinds), F.col("n"))
+        asked = front.join(groups, ["dst_type", "dst"]).withColumn("at", at)
+        asked = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(fan), F.col("n").cast("int")) - 1)))
+        taken = materialize(asked.withColumn("k", (F.col("at") + F.col("k")) % F.col("n")).join(ranked.drop("n"), [*kinds, "k"]).select("batch", F.lit(hop).alias("hop"), "src_type", "rel", "dst_type", "src", "dst"), "hop")
+        out.append(taken)
+        front = taken.select("batch", F.col("src_type").alias("dst_type"), F.col("src").alias("dst")).distinct().join(reached, ["batch", "dst_type", "dst"], "left_anti")
+        front = materialize(front, "front")
+        reached = reached.unionByName(front)
+    return reduce(DataFrame.unionByName, out) if out else edges.limit(0).select(F.lit(0).alias("batch"), F.lit(0).alias("hop"), "src_type", "rel", "dst_type", "src", "dst")

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folder of a local master without ``spark.checkpoint.dir`` (tests), once it has been made.
 _LOCAL: list[str] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back; a temporary folder serves a local master only."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; a temporary folder serves a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.startswith("local["):
         folder = _LOCAL[0] if _LOCAL else _LOCAL.append(tempfile.mkdtemp(prefix="skein-")) or _LOCAL[0]
     folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein"
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a new shared path and read back."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from ..functions.text import tidy_path, trimmed
 from . import schema
+from .csv_ranges import read_csv_ranges
 
 #: Texts that a CSV file means as missing.
 MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A")
@@ -27,26 +28,23 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, known: str) -> DataFrame:
-    """A CSV file with header and a stated schema: known columns have their type, all others are text.
+    """CSV files with header and a stated schema: known columns have their type, all others are text.
 
-    The header is read first (one line); no inference pass, so a module called ``1`` stays a text. Missing values
-    become null. The rows get ``row_id`` in file order: a file is read unsplit, files in the order of their names.
+    No inference pass, so a module called ``1`` stays a text. Missing values become null. Files are read by byte ranges
+    (see :mod:`skein.sources.csv_ranges`), and the rows get ``row_id`` without gaps in file order, files in the order of
+    their names.
     """
-    header = spark.read.text(path).limit(1).collect()
-    names = spark.read.option("header", True).csv(path).columns if header else []
+    texts = read_csv_ranges(spark, path, missing=MISSING)
     types = {f.name: f.dataType for f in StructType.fromDDL(known)}
-    fields = StructType([StructField(n, StringType()) for n in names])
-    df = spark.read.schema(fields).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     cols = []
-    for n in names:
-        kind = types.get(n.strip(), StringType())
-        value = F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`"))
+    for n in texts.columns[:-1]:
+        kind, value = types.get(n.strip(), StringType()), F.col(f"`{n}`")
         if isinstance(kind, LongType):
             value = value.try_cast("double").cast("long")  # counts may be written as 3.0
         elif not isinstance(kind, StringType):
             value = value.try_cast(kind)
         cols.append(value.alias(n))
-    return df.select(*cols, F.monotonically_increasing_id().alias("row_id"))
+    return texts.select(*cols, "row_id")
 
 
 def load_dataset(spark: SparkSession, folder: str, files: tuple[str, str], name: str | None = None) -> tuple[DataFrame, DataFrame]:
