@@ -5,6 +5,8 @@ All functions take and return DataFrames. Where the first of several rows counts
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,3 +227,28 @@ def truth_json(dataset: str, labels: Labels, entities: DataFrame) -> DataFrame:
     groups = truth_groups(labels, entities).agg(F.array_sort(F.collect_list(F.struct("module", group.alias("g")))).alias("all"))
     roots = F.array(*[F.lit(r) for r in labels.roots]) if labels.roots else F.array().cast("array<string>")
     return groups.select(F.to_json(F.struct(F.lit("1.0").alias("@schemaVersion"), F.lit(dataset).alias("name"), roots.alias("root_packages"), F.lit(labels.collapse).alias("collapse_multi_by_path"), F.transform("all", lambda x: x["g"]).alias("structure"))).alias("value"))
+
+
+def nearest_root(paths: DataFrame, roots: DataFrame, path: str = "File", root: str = "root", mark: str = "/") -> DataFrame:
+    """``path`` and ``root`` for each distinct path: the longest root that is the path or a folder above it; null if none.
+
+    A path's prefixes are exploded once and meet the roots by equality, so the cost grows with the depth of the paths and
+    not with the number of roots. Prefixes that no root has are gone before the paths are grouped. Null paths are left out.
+    """
+    known = roots.select(F.col(root).alias("_root")).where("_root is not null").distinct()
+    each = paths.select(F.col(path)).where(F.col(path).isNotNull()).distinct()
+    parts = F.split(F.col(path), "\\Q" + mark + "\\E", -1)
+    cut = each.select(path, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), mark))).alias("_root"))
+    found = cut.join(known, "_root").groupBy(path).agg(F.max_by("_root", F.length("_root")).alias(root))
+    return each.join(found, path, "left")
+
+
+def set_relations(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """``keys`` and a boolean ``in_<name>`` for each table: in which of them a key occurs.
+
+    One tagged pass: rows are bits, which are merged before they are shuffled, so that equality, union, intersection and
+    both differences of any two tables come from one grouping. Null is a key like any other.
+    """
+    tagged = [df.select(*[F.col(k) for k in keys], F.lit(1 << n).alias("_bit")) for n, df in enumerate(tables.values())]
+    merged = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.bit_or("_bit").alias("_bits"))
+    return merged.select(*keys, *[(F.col("_bits").bitwiseAND(F.lit(1 << n)) != 0).alias(f"in_{name}") for n, name in enumerate(tables)])
