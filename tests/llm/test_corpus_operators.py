@@ -1,11 +1,12 @@
 """Line dedup and the Jaccard join against brute force, the two classifiers on held-out rows, and the pipeline."""
 
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
-from skein.llm import graph, jaccard, langid, line_dedup, quality_model
+from skein.llm import graph, jaccard, langid, line_dedup, quality_model, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +122,27 @@ def test_line_dedup_repeated_ids(spark):
     assert got == [(1, a), (2, ""), (2, b), (2, b), (3, c), (3, "new")] or got == [(1, a), (2, ""), (2, b), (2, b), (3, ""), (3, f"{c}\nnew")]
 
 
+def test_line_dedup_clashing_columns(spark, tmp_path, monkeypatch):
+    """Columns with any name stay as they are, and what the operator has written is deleted but for what its result reads."""
+    names = ["_id", "_doc", "_kept", "_left", "id", "doc", "kept", "pos", "line", "h", "g", "row", "left", "k_id", "key", "a.b"]
+    a, b = "the first line of all, which is long enough", "another line, unlike anything else that is here"
+    rows = [(k, t, *[f"{n}{k}" for n in names], 7, 8) for k, t in enumerate([a, f"{a}x\n{b}", None, "", b])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", _lines int, _removed int")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == df.columns
+    left = sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmp_path))
+    bare = line_dedup.dedup_lines(df, counts=False)
+    plain = sorted(map(tuple, bare.collect()), key=str)
+    found = {x["doc_id"]: x for x in got.collect()}
+    assert left == ["edges", "kept"]
+    assert [found[k]["text"] for k in range(5)] == [a, b, None, "", ""]
+    assert [(found[k]["_lines"], found[k]["_removed"]) for k in range(5)] == [(1, 0), (2, 1), (0, 0), (1, 0), (1, 1)]
+    for k, x in found.items():
+        assert [x[n] for n in names] == [f"{n}{k}" for n in names]
+    assert bare.columns == df.columns and [x[-2:] for x in plain] == [(7, 8)] * 5
+
+
 def test_line_dedup_hot_keys(spark, monkeypatch):
     """Keys with more lines than ``FEW`` are divided by further segments; the links stay whole."""
     monkeypatch.setattr(line_dedup, "FEW", 3)
