@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier in the corpus; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup_lines(docs, counts=False).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
 
 

@@ -130,7 +130,7 @@ def walk_embeddings(walks: DataFrame, n_of: DataFrame, dims: int = 128, window:
     return walks.join(F.broadcast(n_of), "dataset").groupBy("dataset").applyInPandas(run, "dataset string, id long, embedding array<float>")
 
 
-#: Neighbours that a walk proposes at once before they are looked at.
+#: Neighbours that a walk proposes at once before they are looked at; twice as many in each further round.
 PROPOSALS = 8
 
 
@@ -140,7 +140,7 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
 
     A neighbour is proposed by its rank among the node's neighbours, drawn evenly, and accepted with its weight (1/p for
     going back, 1 for a common neighbour, 1/q else) over the largest of the three; ``PROPOSALS`` at once, the first that
-    is accepted counts, and walks without one propose again. So accepted neighbours have exactly the biased law. A node
+    is accepted counts, and walks without one propose more. So accepted neighbours have exactly the biased law. A node
     with one neighbour needs no draw. Ranks are taken over ranges, and rows meet by (node, rank) or by (previous, next):
     neither a hub's neighbours nor the walks that stand on it meet in one task. A node that ``edges`` name twice as a
     neighbour counts once. ``vertices`` and ``edges`` may be empty; a walk of a node without edges is that node.
@@ -156,10 +156,10 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
     even, top = p == 1 and q == 1, max(1 / p, 1.0, 1 / q)
     near = edges.select(F.col("src").alias("prev"), "dst").distinct().withColumn("near", F.lit(True))
     for step in range(1, length):
-        moved, todo, base = [], now.where("n > 0"), 0
+        moved, todo, base, many = [], now.where("n > 0"), 0, PROPOSALS
         while True:
             alone = (F.col("n") == 1) | F.lit(even or step == 1)
-            tries = todo.withColumn("t", F.explode(F.when(alone, F.array(F.lit(base))).otherwise(F.sequence(F.lit(base), F.lit(base + PROPOSALS - 1)))))
+            tries = todo.withColumn("t", F.explode(F.when(alone, F.array(F.lit(base))).otherwise(F.sequence(F.lit(base), F.lit(base + many - 1)))))
             k = F.least(F.floor(_draw(F.lit(seed), "walk", F.lit(step), "t", F.lit("k")) * F.col("n")), F.col("n") - 1)
             found = tries.withColumn("k", k).join(hops, ["src", "k"])
             if not (even or step == 1):
@@ -169,7 +169,8 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
             moved.append(picked)
             if even or step == 1:
                 break
-            todo, base = materialize(todo.join(picked.select("walk"), "walk", "left_anti"), "todo"), base + PROPOSALS
+            todo, base = materialize(todo.join(picked.select("walk"), "walk", "left_anti"), "todo"), base + many
+            many = min(2 * many, 256)
             if not todo.limit(1).count():
                 break
         now = reduce(DataFrame.unionByName, moved)
