@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -267,6 +268,57 @@ def test_page_without_article_tag(spark):
     assert same >= 0.5 * len(pages), same / len(pages)
 
 
+ARTICLE = "".join(f"<p>The words of paragraph {i} go on for a while. {'Some more of them follow, as they do. ' * 3}</p>" for i in range(12))
+LINES = "\n".join(" ".join(x.split()) for x in re.findall("<p>(.*?)</p>", ARTICLE))
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_wrappers_with_side_words(spark, learned):
+    """What stands around the text may be called anything; what stands beside it goes."""
+    w = html_text.learn([x["html"] for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]) if learned else html_text.Weights()
+    page = lambda body: f"<html><head><title>t</title></head><body><nav><a>menu</a></nav>{body}<div class='sidebar'>side words</div><footer>foot</footer></body></html>"
+    for name in ("content", "content has-sidebar", "entry-content no-sidebar", "post tag-news", "story legal-affairs", "content meta-analysis", "page-with-comments"):
+        assert html_text.extract(page(f'<div class="{name}">{ARTICLE}</div>'), w) == LINES, name
+    assert html_text.extract(f'<body><div class="page has-sidebar"><article>{ARTICLE}</article><aside>no</aside></div></body>', w) == LINES
+    assert html_text.extract(f"<body><form><nav>menu</nav><div>{ARTICLE}</div><input></form></body>", w) == LINES
+    more = '<section class="legal-notes"><p>notes</p></section><section class="response"><p>it said no</p></section>'
+    assert html_text.extract(page(f"<article>{ARTICLE}{more}</article>"), w) == LINES + "\nnotes\nit said no"
+    beside = f'<div class="ad">buy</div><div class="related-posts"><a>x</a></div><div id="comments"><article class="comment"><p>{"I think so too. " * 300}</p></article></div><div class="cookie-banner"><p>cookies</p></div>'
+    for body in (f"<article>{ARTICLE}{beside}</article>", f"<article>{ARTICLE}</article>{beside}", f"<div class='post'>{ARTICLE}</div>" + beside.replace("* 300", "")):
+        assert html_text.extract(page(body.replace("I think so too. " * 300, "I think so too. " * 20) if "post" in body else body), w) == LINES
+
+
+def test_learned_weights_decide(spark):
+    """With article tags and class names hidden the fitted weights find the text and the ones they start from do not."""
+    pages = [x["html"] for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    w = html_text.learn(pages[:100])
+    bare = [re.sub(r' class="[^"]*"', "", re.sub("(</?)article>", r"\1div>", x)) for x in pages]
+    want = [html_text.extract(x, w) for x in pages]
+
+    def f1(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return 2 * (a & b).total() / max(1, a.total() + b.total())
+
+    mean = lambda weights: sum(f1(html_text.extract(x, weights), y) for x, y in zip(bare, want, strict=True)) / len(bare)
+    fitted, start = mean(w), mean(html_text.Weights())
+    assert fitted >= 0.99 and start < fitted
+    assert html_text.learn([]).word == {}
+
+
+def test_regions_of_small_pages():
+    """The region of a page is the best of all regions, before it is taken to the element around it."""
+    r = random.Random(5)
+    w = html_text.Weights()
+    for _ in range(150):
+        page = "<body>" + "".join(r.choice(["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<a>", "</a>", "<br>", "one two three ", "word ", "a b c d e f g h "]) for _ in range(r.randint(0, 14)))
+        found = html_text.Page(page)
+        a, b, beside = html_text._region(found, w)
+        scores = html_text.row_scores(found, w)[0]
+        best = max([0.0, *(sum(scores[i:k]) for i in range(len(scores)) for k in range(i + 1, len(scores) + 1))])
+        x, y = html_text.best_region(scores)
+        assert abs(sum(scores[x:y]) - best) < 1e-9 and (a <= x and b >= y if x < y else a == b == 0)
+
+
 @pytest.mark.parametrize("page", ["<a" * 100_000, "<a " * 100_000, '<a x="' * 50_000, "<!" * 100_000, "<?" * 100_000, "<div>" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, "<script>" * 50_000, "<!--" * 50_000, "<p class=x" * 50_000, "<a '\"" * 50_000])
 def test_broken_pages_take_linear_time(page):
     began = time.perf_counter()
