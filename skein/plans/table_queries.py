@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, metrics, prepare, rules, walks
+from ..sources.labels import nested_items
 from ..sources.tables import MISSING, read_csv
 from . import fixtures as fx
 from .queries import _rows, _vertices, query
@@ -57,6 +58,19 @@ def file_set_relations(spark, d):
     return prepare.set_relations({"entities": fx.files(spark, d).select("File"), "sources": deps.select(F.col("Source_File").alias("File")), "targets": deps.select(F.col("Target_File").alias("File"))}, ["File"])
 
 
+@query("""select cast(r_regionkey as bigint) as region, case when n_nationkey % 3 = 0 then r_name else n_name end as module, s_name as item
+from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def nested_truth(spark, d):
+    """Suppliers in nations in regions, one JSON text a region; every third nation has no name of its own."""
+    t = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    item = F.struct(F.lit("item").alias("@type"), F.col("s_name").alias("name"))
+    nation = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.collect_list(item).alias("nested"))
+    group = F.struct(F.lit("group").alias("@type"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).otherwise("").alias("name"), "nested")
+    region = nation.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.collect_list(group).alias("nested"))
+    texts = region.select(F.col("r_regionkey").alias("id"), F.to_json(F.struct(F.array(F.struct(F.lit("group").alias("@type"), F.col("r_name").alias("name"), "nested")).alias("structure"))).alias("text"))
+    return nested_items(texts).select(F.col("id").cast("long").alias("region"), "module", "item")
+
+
 @query()
 def biased_walks(spark, d):
     return walks.biased_walks(_vertices(spark, d).select("id"), graphs.undirected(_rows(spark, d)), 1, 6, 0.5, 2.0, seed=1)

@@ -102,3 +102,25 @@ def test_results(spark, tmp_path):
     for _ in range(2):
         assert results.cached_embedding(spark, str(tmp_path / "c"), "k", build).count() == 3
     assert len(calls) == 1
+
+
+def test_rule_sections():
+    text = "early e\\.x\n# notes of nothing known\nalso a\\.y\n# mapping\nin i\\.z\n# relations\nnot n\\.q\n# root-package\n/a/b/ tail\n# <regular_expression>\nlate l\n"
+    got = labels.parse_rules(text)
+    assert [m for m, _ in got.rules] == ["early", "also", "in", "late"] and got.roots == ["a.b"]
+    assert labels.parse_rules("# mapping\n# modules\nx y\n").rules == [] and labels.parse_rules("").roots == []
+    heads = {r"org\.app\.core\..*": "org.app.core.", r"^a.b(c|d)": "a.b", r"ab|cd": "ab", r"x\.yz*w": "x.yz", r"[ab]c": "", r"a\.b?c": "a.b", ".*": ""}
+    assert {p: labels.literal_head(p) for p in heads} == heads
+    assert labels.roots_of([r"a\.b\.c\.d", r"a\.b\.e"]) == ["a.b"] and labels.roots_of([r"a\.b\.c\.d", r"x\.y"]) == ["a.b.c"] and labels.roots_of(["(.*)"]) == []
+
+
+def test_nested_items(spark):
+    deep = {"name": "leaf"}
+    for k in range(12):
+        deep = {"name": f"g{k}" if k % 2 else "", "nested": [{"name": f"i{k}"}, deep]}
+    whole = {"structure": [deep, {"name": "alone"}, {"name": "", "nested": [{"name": "x"}, {"name": ""}, {"name": "y", "nested": []}, {"nested": [{"name": "z"}]}]}]}
+    rows = [(1, json.dumps(whole)), (2, None), (3, "no json"), (4, json.dumps({"structure": []})), (5, json.dumps({"other": 1}))]
+    got = labels.nested_items(spark.createDataFrame(rows, "id long, text string")).orderBy("id", "place").collect()
+    want = labels.parse_json(json.dumps(whole)).entities
+    assert [(x["item"], x["module"].lower()) for x in got] == [(k, m) for k, ms in want.items() for m in ms] and {x["id"] for x in got} == {1}
+    assert labels.nested_items(spark.createDataFrame([], "id long, text string")).count() == 0

@@ -38,11 +38,11 @@ def written(folder, rows_of, head, ending="\n"):
 
 
 @pytest.mark.parametrize("ending", ["\n", "\r\n"])
-@pytest.mark.parametrize("size", [40, 333, 1 << 20])
+@pytest.mark.parametrize("size", [150, 1 << 20])
 def test_csv_ranges(spark, tmp_path, ranges_of, monkeypatch, size, ending):
     r = random.Random(size)
     field = lambda: "".join(r.choice('ab",\n é') for _ in range(r.choice([0, 2, 9, 40, 500 if r.random() < 0.1 else 3])))
-    rows_of = {f"{k}.csv": [[str(i), field(), r.choice(["5' disk", "x", 'q"uote'])] for i in range(40)] for k in range(3)}
+    rows_of = {f"{k}.csv": [[str(i), field(), r.choice(["5' disk", "x", 'q"uote'])] for i in range(15)] for k in range(2)}
     written(tmp_path, rows_of, ["a", "b, x", "c\nd"], ending)
     ranges_of(size)
     want = [[v or None for v in row] for k in sorted(rows_of) for row in rows_of[k]]
@@ -67,7 +67,7 @@ def test_csv_odd_files(spark, tmp_path, ranges_of):
     assert csv_ranges.read_csv_ranges(spark, str(tmp_path / "empty.csv")).count() == 0
     (tmp_path / "other.csv").write_text("z\n1\n")
     with pytest.raises(ValueError, match="different headers"):
-        csv_ranges.read_csv_ranges(spark, str(tmp_path / "[xo]*r*.csv") if False else f"{tmp_path}/{{x,other}}.csv")
+        csv_ranges.read_csv_ranges(spark, f"{tmp_path}/{{x,other}}.csv")
 
 
 def test_line_states():
@@ -140,9 +140,9 @@ def test_biased_walks(spark):
         near[a].add(b)
         near[b].add(a)
     p, q = 0.25, 2.0
-    got = walks.biased_walks(vertices, edges, 1500, 4, p, q, seed=3)
+    got = walks.biased_walks(vertices, edges, 700, 4, p, q, seed=3)
     paths = [x["path"] for x in got.collect()]
-    assert len(paths) == 7 * 1500 and all(x[k + 1] in near[x[k]] for x in paths for k in range(len(x) - 1))
+    assert len(paths) == 7 * 700 and all(x[k + 1] in near[x[k]] for x in paths for k in range(len(x) - 1))
     assert all(len(x) == (1 if x[0] == 6 else 4) for x in paths)
     seen = defaultdict(Counter)
     for x in paths:
