@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, metrics, prepare, rules, walks
+from ..sources import manifests
 from ..sources.labels import nested_items
 from ..sources.tables import MISSING, read_csv
 from . import fixtures as fx
@@ -71,6 +72,18 @@ def nested_truth(spark, d):
     return nested_items(texts).select(F.col("id").cast("long").alias("region"), "module", "item")
 
 
+@query("""select event_type as run, event_id, case when event_type = 'click' then user_id end as user_id, case when event_type <> 'click' then event_type end as kind from events""")
+def widening_append(spark, d):
+    """Events appended run by run, of which one has other columns than the rest; one run is repeated."""
+    events, path = spark.read.parquet(f"{d}/events.parquet"), shared_path(spark, "table")
+    runs = sorted(r[0] for r in events.select("event_type").distinct().collect())  # a few types
+    for run in [*runs, runs[0]]:
+        own = events.where(F.col("event_type") == run).select(F.col("event_type").alias("run"), "event_id", *(["user_id"] if run == "click" else [F.col("event_type").alias("kind")]))
+        manifests.append(own, path, run)
+    manifests.compact(spark, path, 2)
+    return manifests.read(spark, path).select("run", "event_id", "user_id", "kind")
+
+
 @query()
 def biased_walks(spark, d):
     return walks.biased_walks(_vertices(spark, d).select("id"), graphs.undirected(_rows(spark, d)), 1, 6, 0.5, 2.0, seed=1)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from skein.functions import text as T
-from skein.sources import catalog, labels, results, tables
+from skein.sources import catalog, labels, manifests, results, tables
 
 
 def one(spark, expr, *values):
@@ -124,3 +124,36 @@ def test_nested_items(spark):
     want = labels.parse_json(json.dumps(whole)).entities
     assert [(x["item"], x["module"].lower()) for x in got] == [(k, m) for k, ms in want.items() for m in ms] and {x["id"] for x in got} == {1}
     assert labels.nested_items(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_manifests(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    row = lambda **x: spark.createDataFrame([tuple(x.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in x.items()))
+    assert manifests.read(spark, path).columns == []
+    assert manifests.append(row(run=1, a="x"), path, "r1") and not manifests.append(row(run=1, a="again"), path, "r1")
+    assert manifests.append(row(b="y", run=2), path, "r2")
+    with pytest.raises(ValueError, match="another type"):
+        manifests.append(row(run="text"), path, "r3")
+    want = {(1, "x", None), (2, None, "y")}
+    assert manifests.read(spark, path).columns == ["run", "a", "b"] and set(map(tuple, manifests.read(spark, path).collect())) == want
+    # another writer takes the number that this one was about to take, once with another run and once with the same
+    put, rivals = manifests._put, [("r4", row(run=4, c="z")), ("r5", row(run=5, a="twice"))]
+
+    def slow(spark, at, number, content):
+        if rivals:
+            key, df = rivals.pop(0)
+            monkeypatch.setattr(manifests, "_put", put)
+            assert manifests.append(df, path, key)
+            monkeypatch.setattr(manifests, "_put", slow)
+        return put(spark, at, number, content)
+
+    monkeypatch.setattr(manifests, "_put", slow)
+    assert manifests.append(row(run=3, a="late"), path, "r3")
+    assert not manifests.append(row(run=5, a="mine"), path, "r5")
+    monkeypatch.setattr(manifests, "_put", put)
+    want |= {(3, "late", None), (5, "twice", None)}
+    got = manifests.read(spark, path)
+    assert got.columns == ["run", "a", "b", "c"] and {x[:3] for x in map(tuple, got.collect())} == want | {(4, None, None)}
+    assert manifests.compact(spark, path) == 5 and manifests.compact(spark, path) == 0
+    assert sorted(map(str, manifests.read(spark, path).collect())) == sorted(map(str, got.collect()))
+    assert len(manifests.latest(spark, path)[1]["parts"]) == 1 and not manifests.append(row(run=3, a="late"), path, "r3")

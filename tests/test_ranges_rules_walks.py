@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skein.operators import attention, ranks, rules, walks
+from skein.operators import attention, clustering, ranks, rules, walks
 from skein.sources import csv_ranges, tables
 
 
@@ -205,3 +205,16 @@ def test_batches_of_typed_graphs():
     settings = attention.Settings().updated({"epochs": 2, "batch_files": 10, "batch_size": 64})
     out = attention.train(60, pairs, edges, relations, sizes, None, False, settings, 1, loops=False)
     assert out.shape[0] == 60 and np.isfinite(out).all()
+
+
+def test_large_systems_are_clustered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "LARGE", 50)
+    r = random.Random(1)
+    rows = [(d, i, [float(10 * (i % 3)) + r.random(), float(i % 3) + r.random()]) for d, n in (("big", 90), ("small", 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, id long, embedding array<double>")
+    got = clustering.cluster(df, "kmeans", k=3)
+    of = defaultdict(set)
+    for x in got.collect():
+        of[x["dataset"], x["id"] % 3].add(x["cluster"])
+    assert got.columns == ["dataset", "id", "cluster", "k", "silhouette"] and all(len(v) == 1 for v in of.values())
+    assert all(len({min(of[d, k]) for k in range(3)}) == 3 for d in ("big", "small")) and got.count() == 120
