@@ -27,13 +27,16 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 64, 0.01, 1e-4
 
 
 def _shape(word: str) -> str:
-    """Kinds of the characters with runs cut to two: what a word looks like, not what it says."""
+    """What a word looks like, not what it says: the kinds of all its characters with runs cut to two, of which the first
+    and the last few stand for themselves and all count (a hash of mixed digits and letters has many)."""
     out: list[str] = []
-    for c in word[:24]:
+    for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
-    return "\0" + "".join(out[:8])
+    if len(out) > 8:
+        out = [*out[:4], "\1", *out[-3:], chr(len(out).bit_length())]
+    return "\0" + "".join(out)
 
 
 class _Rows(dict):
