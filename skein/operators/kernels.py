@@ -268,6 +268,10 @@ def normal_adjacency(n: int, src: np.ndarray, dst: np.ndarray, loop: float = 0.0
     return a * s[:, None] * s[None]
 
 
+#: Terms of a sparse product that are held at once.
+PRODUCT = 1 << 22
+
+
 class SparseAdjacency:
     """Symmetric-normalised adjacency of undirected edges, with loops of a weight, as a product with blocks of columns."""
 
@@ -281,8 +285,13 @@ class SparseAdjacency:
 
     def __matmul__(self, x: np.ndarray) -> np.ndarray:
         out = self.diagonal[:, None] * x
-        if len(self.rows):
-            out[self.rows] += np.add.reduceat(self.weight[:, None] * x[self.col], self.starts, axis=0)
+        ends = np.append(self.starts, len(self.col))
+        at = 0
+        while at < len(self.rows):  # rows whose edges fit the room, so a product never holds a term for each edge
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PRODUCT // max(1, x.shape[1]), "right")) - 1)
+            part = slice(int(ends[at]), int(ends[to]))
+            out[self.rows[at:to]] += np.add.reduceat(self.weight[part, None] * x[self.col[part]], self.starts[at:to] - ends[at], axis=0)
+            at = to
         return out
 
 
@@ -370,12 +379,22 @@ def diffusion(n: int, src: np.ndarray, dst: np.ndarray, kind: str, alpha: float,
         blocks = (_diffused(a, np.arange(at, min(n, at + 128)), kind, alpha) for at in range(0, n, 128))
     out, first = [], 0
     for s in blocks:
-        s = np.round(s, 12)
-        top = np.argsort(-s, axis=0, kind="stable")[: min(keep, n)]
-        weight = np.take_along_axis(s, top, 0)
-        weight = weight / weight.sum(0)
-        cols = np.broadcast_to(np.arange(first, first + s.shape[1]), top.shape)
-        order = np.lexsort((top.T.ravel(), cols.T.ravel()))
-        out.append((top.T.ravel()[order], cols.T.ravel()[order], weight.T.ravel()[order]))
+        out.append(kept_of_columns(s, np.arange(first, first + s.shape[1]), keep))
         first += s.shape[1]
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def kept_of_columns(s: np.ndarray, cols: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` largest entries of columns of a diffusion matrix as ``src, dst, weight``, by column and row."""
+    s = np.round(s, 12)
+    top = np.argsort(-s, axis=0, kind="stable")[: min(keep, len(s))]
+    weight = np.take_along_axis(s, top, 0)
+    weight = weight / weight.sum(0)
+    cols = np.broadcast_to(cols, top.shape)
+    order = np.lexsort((top.T.ravel(), cols.T.ravel()))
+    return top.T.ravel()[order], cols.T.ravel()[order], weight.T.ravel()[order]
+
+
+def diffusion_columns(a: SparseAdjacency, cols: np.ndarray, kind: str, alpha: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of :func:`diffusion` that lie in the columns ``cols``; ``a`` has loops of weight 1."""
+    return kept_of_columns(_diffused(a, cols, kind, alpha), cols, keep)

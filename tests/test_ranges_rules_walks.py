@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skein.operators import attention, clustering, ranks, rules, walks
+from skein.operators import attention, clustering, diffusion, kernels, ranks, rules, walks
 from skein.sources import csv_ranges, tables
 
 
@@ -218,3 +218,25 @@ def test_large_systems_are_clustered_in_parts(spark, monkeypatch):
         of[x["dataset"], x["id"] % 3].add(x["cluster"])
     assert got.columns == ["dataset", "id", "cluster", "k", "silhouette"] and all(len(v) == 1 for v in of.values())
     assert all(len({min(of[d, k]) for k in range(3)}) == 3 for d in ("big", "small")) and got.count() == 120
+
+
+@pytest.mark.parametrize("kind", ["ppr", "heat"])
+def test_diffusion_by_columns(spark, monkeypatch, kind):
+    r = random.Random(2)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(50), r.randrange(50)) for _ in range(120)) if a != b})
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    vertices = spark.createDataFrame([(k,) for k in range(53)], "id long")  # three without edges
+    rows = lambda df: {(x["src"], x["dst"]): x["weight"] for x in df.collect()}
+    want = rows(diffusion.gdc_exact(vertices, edges, kind, 0.3, 6))
+    monkeypatch.setattr(kernels, "DENSE_NODES", 10)
+    monkeypatch.setattr(diffusion, "COLUMNS", 7)
+    monkeypatch.setattr(kernels, "PRODUCT", 40)
+    got = rows(diffusion.gdc(vertices, edges, kind, 0.3, 6))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    monkeypatch.setattr(diffusion, "SENT_EDGES", 10)
+    with pytest.raises(ValueError, match="edges"):
+        diffusion.gdc_columns(vertices, edges, kind)
+    if kind == "ppr":  # by pushes
+        pushed = rows(diffusion.gdc(vertices, edges, kind, 0.3, 53, 1e-5))
+        monkeypatch.setattr(kernels, "DENSE_NODES", 5000)
+        assert all(abs(pushed.get(k, 0) - w) < 2e-3 for k, w in rows(diffusion.gdc_exact(vertices, edges, kind, 0.3, 53)).items())
