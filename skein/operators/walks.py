@@ -131,7 +131,7 @@ def walk_embeddings(walks: DataFrame, n_of: DataFrame, dims: int = 128, window:
 
 
 #: Neighbours that a walk proposes at once before they are looked at; twice as many in each further round.
-PROPOSALS = 8
+PROPOSALS = 16
 
 
 def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
@@ -145,7 +145,8 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
     neither a hub's neighbours nor the walks that stand on it meet in one task. A node that ``edges`` name twice as a
     neighbour counts once. ``vertices`` and ``edges`` may be empty; a walk of a node without edges is that node.
     """
-    hops = rank_in_group(edges.select("src", "dst").distinct(), ["src"], ["dst"], "k", "n")
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+    hops = rank_in_group(edges, ["src"], ["dst"], "k", "n")
     sizes = hops.where("k = 0").select(F.col("src").alias("dst"), F.col("n").alias("m"))
     # each neighbour with the number of its own ones, so a walk knows how many there are where it arrives
     hops = materialize(hops.join(sizes, "dst", "left").select("src", "k", "dst", F.coalesce("m", F.lit(0)).alias("m")), "hops")
@@ -154,7 +155,7 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
     now = materialize(first.select(F.xxhash64(F.lit(seed), "id", "r").alias("walk"), F.lit(None).cast("long").alias("prev"), F.col("id").alias("src"), F.coalesce("m", F.lit(0)).alias("n")), "walks")
     steps = [now.select("walk", F.lit(0).alias("step"), F.col("src").alias("node"))]
     even, top = p == 1 and q == 1, max(1 / p, 1.0, 1 / q)
-    near = edges.select(F.col("src").alias("prev"), "dst").distinct().withColumn("near", F.lit(True))
+    near = edges.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("near"))
     for step in range(1, length):
         moved, todo, base, many = [], now.where("n > 0"), 0, PROPOSALS
         while True:
