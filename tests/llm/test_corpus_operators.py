@@ -177,6 +177,30 @@ def test_line_dedup_hot_keys(spark, monkeypatch):
     assert group(got) == group(want)
 
 
+def test_line_dedup_large_group(spark):
+    """Lines of a large group that are not near its head meet those with the same changes, not all others."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    top = [word() for _ in range(100)]
+    lines = [" ".join(top)]
+    for k in range(120):
+        x = list(top)
+        for at in r.sample(range(100), 6):
+            x[at] = word()
+        y = list(x)
+        y[r.randrange(100)] = word()
+        lines += [" ".join(x), " ".join(y)] if k < 20 else [" ".join(x)]
+    texts = line_dedup.signed(spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")).cache()
+    head = texts.where(F.col("line") == lines[0]).first()["h"]
+    rows = texts.where(F.col("h") != head).select(F.lit(head).alias("head"), F.lit(line_dedup.BY_BOTH).alias("kind"), F.lit(0).alias("part"), "h", F.struct(*line_dedup.MARKS).alias("x"), F.lit(False).alias("done"))
+    keyed = line_dedup.told_apart(rows, texts, line_dedup.budgets(None, line_dedup.MIN_CHARS)[0]).select("key", "h").distinct()
+    by_word = keyed.join(keyed.withColumnRenamed("h", "o"), "key").where("h < o").select("h", "o").distinct()
+    found = {x["h"]: x["line"] for x in texts.collect()}
+    pairs = {frozenset((found[x["h"]], found[x["o"]])) for x in by_word.collect()}
+    # of 9,730 pairs; all within the budget are among them
+    assert {frozenset(lines[k : k + 2]) for k in range(1, 41, 2)} <= pairs and len(pairs) < 2000
+
+
 def test_line_dedup_distance(spark):
     r = random.Random(1)
     rows = []
