@@ -219,6 +219,59 @@ def test_line_dedup_distance(spark):
             assert min(got["d"], k + 1) == min(edit(a, b), k + 1)
 
 
+def test_line_dedup_class_borders(spark):
+    """Near copies are found at every length, also where the two lines are in different classes."""
+    r = random.Random(23)
+    rows = []
+    for n in (*range(32, 70), *range(78, 84), *range(94, 100), *range(110, 116), *range(126, 132), *range(158, 164), 255, 257, 511, 513, 700):
+        a = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        b = list(a)
+        for k in r.sample(range(n), 4 if n >= 64 else 2):
+            b[k] = r.choice(["", "z", b[k] + "z"])
+        rows += [a, "".join(b)]
+    lines = spark.createDataFrame([(x,) for x in rows], "line string").withColumn("h", F.xxhash64("line"))
+    found = {x["h"]: x["line"] for x in lines.collect()}
+    got = {frozenset((found[x["a"]], found[x["b"]])) for x in line_dedup.near_links(lines, *line_dedup.budgets(None, line_dedup.MIN_CHARS)).collect()}
+    near = lambda a, b: min(len(a), len(b)) >= 32 and edit(a, b) <= (4 if min(len(a), len(b)) >= 64 else 2)
+    assert got == {frozenset(rows[k : k + 2]) for k in range(0, len(rows), 2) if near(*rows[k : k + 2])}
+
+
+def test_line_dedup_wide_buckets(spark):
+    """Long lines within the budget of the shorter one share a span of sizes."""
+    r = random.Random(2)
+    sizes = [(n, n + r.randint(0, (1 << (n.bit_length() - 1)) // 16)) for n in [*range(256, 300), *range(500, 530), *(r.randrange(256, 40000) for _ in range(300))]]
+    got = spark.createDataFrame(sizes, "x int, y int").select("x", "y", line_dedup.wide_buckets(F.col("x")).alias("a"), line_dedup.wide_buckets(F.col("y")).alias("b")).collect()
+    assert all(set(g["a"]) & set(g["b"]) and len(g["a"]) <= 2 for g in got)
+
+
+def test_line_dedup_pairs_once(spark, monkeypatch):
+    """Lines that share many keys meet once for these, and long lines of other repeated words do not meet at all."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    top = [word() for _ in range(120)]
+    near = [" ".join([*top[:k], word(), word(), word(), *top[k + 3 :]]) for k in range(0, 120, 6)]
+    junk = [" ".join(["Same"] * 40 + [w] * (600 + k % 3)) for k, w in enumerate("LaX UnX DeX AtreX AndX BleX WasX EdstndX EtX ThX OrX InX".split())]
+    made = []
+    crossed = line_dedup._crossed
+
+    def counted(*args):
+        out = crossed(*args)
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_crossed", counted)
+    lines = spark.createDataFrame([(x,) for x in [*near, *junk]], "line string").withColumn("h", F.xxhash64("line"))
+    found = {x["h"]: x["line"] for x in lines.collect()}
+    links = {frozenset((found[x["a"]], found[x["b"]])) for x in line_dedup.near_links(lines, *line_dedup.budgets(None, line_dedup.MIN_CHARS)).collect()}
+    want = {frozenset((a, b)) for n, a in enumerate(near) for b in near[:n] if edit(a.split(" "), b.split(" ")) <= 4}
+    assert links <= want and all(x in junk or any(x in pair for pair in links) == any(x in pair for pair in want) for x in near)
+    assert sum(rows for rows, _ in made) <= 8 * max(1, sum(pairs for _, pairs in made))
+    # of 66 pairs of junk, those whose words are in one of twelve classes of the hash
+    texts = line_dedup.signed(lines.where(F.col("line").isin(junk)))
+    a, b = (texts.select(F.struct("h", *line_dedup.MARKS).alias(n)) for n in "ab")
+    assert a.join(b, (F.col("a.h") < F.col("b.h")) & line_dedup.plausible("a", "b", line_dedup.CHARS, True)[1]).count() < 20
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
