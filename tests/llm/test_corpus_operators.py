@@ -272,6 +272,36 @@ def test_line_dedup_pairs_once(spark, monkeypatch):
     assert a.join(b, (F.col("a.h") < F.col("b.h")) & line_dedup.plausible("a", "b", line_dedup.CHARS, True)[1]).count() < 20
 
 
+def test_line_dedup_one_class(spark, monkeypatch):
+    """Lines that their heads have joined do not meet again; what tells a line apart is a few rows a line, however large its group."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    top = [word() for _ in range(75)]
+    added = []
+    for _ in range(40):
+        x = list(top)
+        for k in (20, 40, 60):
+            x.insert(k + r.randrange(6), word())
+        added.append(" ".join(x))
+    made = []
+    crossed = line_dedup._crossed
+    monkeypatch.setattr(line_dedup, "_crossed", lambda *args: made.append(crossed(*args)) or made[-1])
+    counts = []
+    materialize = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag: counts.extend(x.count() for x in made if tag == "pairs") or materialize(df, tag))
+    # the text of the others stands twice, so it is the head where it has a part; in the other part of its keys it is not
+    lines = spark.createDataFrame([(x,) for x in [" ".join(top)] * 2 + added], "line string").withColumn("h", F.xxhash64("line"))
+    links = line_dedup.near_links(lines, *line_dedup.budgets(None, line_dedup.MIN_CHARS)).collect()
+    assert len(set(roots({x["h"] for x in lines.collect()}, [(x["a"], x["b"]) for x in links]).values())) == 1
+    assert counts and sum(counts) == 0
+
+    long = [word() for _ in range(140)]
+    texts = line_dedup.signed(spark.createDataFrame([(" ".join([*long[:k], word(), *long[k + 1 :]]),) for k in range(50)], "line string").select(F.xxhash64("line").alias("h"), "line")).cache()
+    head = texts.agg(F.max("h")).first()[0]
+    rows = texts.where(F.col("h") != head).select(F.lit(head).alias("head"), F.lit(line_dedup.BY_MORE).alias("kind"), F.lit(0).alias("part"), "h", F.struct(*line_dedup.MARKS).alias("x"), F.lit(False).alias("done"))
+    assert line_dedup.told_apart(rows, texts, line_dedup.CHARS).count() == 49 * (line_dedup.MORE + 1)
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
