@@ -302,6 +302,25 @@ def test_line_dedup_one_class(spark, monkeypatch):
     assert line_dedup.told_apart(rows, texts, line_dedup.CHARS).count() == 49 * (line_dedup.MORE + 1)
 
 
+def test_line_dedup_texts_sent_once(spark, monkeypatch):
+    """The bitmap drops texts before they are sent: no join with the lines looked for lies beneath it, whatever their number."""
+    plans = []
+    materialize = line_dedup.materialize
+
+    def seen(df, tag):
+        if tag == "texts":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, tag)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    rows = [f"line {k} that shares its start and its end with all of the others, but for a number {k % 7}" for k in range(20)]
+    lines = spark.createDataFrame([(x,) for x in rows], "line string").withColumn("h", F.xxhash64("line"))
+    assert line_dedup.near_links(lines, *line_dedup.budgets(None, line_dedup.MIN_CHARS)).count()
+    joins = [x.strip(" :+-") for x in plans[0].split("\n") if "Join" in x]
+    # from the top: with the lines looked for, then with the bitmap
+    assert len(joins) == 2 and "rightHint" not in joins[0] and "broadcast" in joins[1], plans[0]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
