@@ -302,6 +302,44 @@ def test_line_dedup_one_class(spark, monkeypatch):
     assert line_dedup.told_apart(rows, texts, line_dedup.CHARS).count() == 49 * (line_dedup.MORE + 1)
 
 
+def test_line_dedup_rulers(spark):
+    """Of every segment a line gives few parts, and two lines with the segment at any shift that edits leave have one in common."""
+    for m in range(40):
+        marks = line_dedup.ruler(m)
+        assert max(marks) == m and {abs(a - b) for a in marks for b in marks} == set(range(m + 1)) and len(marks) <= 2 * m**0.5 + 1
+    assert [len(line_dedup.places(k)) for k in (1, 2, 4, 8)] == [2, 4, 9, 22]
+    for least, edits, gap in ((32, 2, 0), (64, 4, 0), (32, 4, 1), (64, 4, 1), (128, 8, 1)):
+        plan = line_dedup.plan_of(least, edits, 0, gap)
+        spans = {}
+        for i, at, w in plan:
+            start = at - 1 if at > 0 else least + at
+            lo, hi = spans.get(i, (least, 0))
+            spans[i] = (min(lo, start), max(hi, start + w))
+        edges = [spans[i] for i in sorted(spans)]
+        assert len(edges) == edits + 1 and edges[0][0] >= 0 and edges[-1][1] <= least
+        assert all(a[1] + gap <= b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_line_dedup_shared_change(spark):
+    """A change that two lines of a large group share is found at whatever place of their lists it is, once for a line and head of all kinds and sizes."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    top = [word() for _ in range(20)]
+    lines = [" ".join(top)]
+    shared = word()
+    for _ in range(24):
+        lines.append(" ".join([*top[:9], shared, word(), *top[11:]]))
+    texts = line_dedup.signed(spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")).cache()
+    head = texts.where(F.col("line") == lines[0]).first()["h"]
+    one = texts.where(F.col("h") != head).select(F.lit(head).alias("head"), "h", F.struct(*line_dedup.MARKS).alias("x"), F.lit(False).alias("done"))
+    group = lambda kind, part: one.select("head", F.lit(kind).alias("kind"), F.lit(part).alias("part"), "h", "x", "done")
+    words = group(line_dedup.BY_WORDS, 5)
+    keyed = line_dedup.told_apart(words, texts, line_dedup.CHARS)
+    assert keyed.groupBy("key").agg(F.countDistinct("h").alias("n")).agg(F.max("n")).first()[0] == 24
+    twice = words.unionByName(group(line_dedup.BY_WORDS, 6)).unionByName(group(line_dedup.BY_CHARS, 7))
+    assert line_dedup.told_apart(twice, texts, line_dedup.CHARS).count() <= 24 * (2 + 13)
+
+
 def test_line_dedup_texts_sent_once(spark, monkeypatch):
     """The bitmap drops texts before they are sent: no join with the lines looked for lies beneath it, whatever their number."""
     plans = []
