@@ -302,7 +302,7 @@ def test_line_dedup_one_class(spark, monkeypatch):
     assert line_dedup.told_apart(rows, texts, line_dedup.CHARS).count() == 49 * (line_dedup.MORE + 1)
 
 
-def test_line_dedup_rulers(spark):
+def test_line_dedup_rulers():
     """Of every segment a line gives few parts, and two lines with the segment at any shift that edits leave have one in common."""
     for m in range(40):
         marks = line_dedup.ruler(m)
