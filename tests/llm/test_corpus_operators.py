@@ -340,6 +340,23 @@ def test_line_dedup_shared_change(spark):
     assert line_dedup.told_apart(twice, texts, line_dedup.CHARS).count() <= 24 * (2 + 13)
 
 
+def test_line_dedup_shared_once(spark):
+    """Lines that share several changes against their head are paired once, and no pair that shares any is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    top = [word() for _ in range(40)]
+    shared = [word() for _ in range(8)]
+    lines = [" ".join(top), *(" ".join([*shared, *top[8:20], word(), *top[21:]]) for _ in range(20))]
+    texts = line_dedup.signed(spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")).cache()
+    head = texts.where(F.col("line") == lines[0]).first()["h"]
+    rows = texts.where(F.col("h") != head).select(F.lit(head).alias("head"), F.lit(line_dedup.BY_BOTH).alias("kind"), F.lit(0).alias("part"), "h", F.struct(*line_dedup.MARKS).alias("x"), F.col("h").alias("root"), F.lit(False).alias("done"))
+    keyed = line_dedup.told_apart(rows, texts, line_dedup.CHARS).cache()
+    every = keyed.select("key", "h").join(keyed.select("key", F.col("h").alias("o")), "key").where("h < o").select("h", "o")
+    made = [(x["a"], x["b"]) for x in line_dedup._crossed(keyed, line_dedup.CHARS, True).collect()]
+    assert every.count() > 2 * every.distinct().count() and sorted(made) == sorted(map(tuple, every.distinct().collect()))
+    assert len(made) == 190
+
+
 def test_line_dedup_texts_sent_once(spark, monkeypatch):
     """The bitmap drops texts before they are sent: no join with the lines looked for lies beneath it, whatever their number."""
     plans = []
