@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.store import materialize
 from ..sources.labels import Labels
 from .ranks import global_rank
 from .rules import modules_found
@@ -59,9 +60,11 @@ def in_roots(df: DataFrame, roots: list[str]) -> DataFrame:
 def extract_entities(model: DataFrame, language: str) -> DataFrame:
     """One ``file`` row for each variable and one row for each end of a detail whose file is known; distinct.
 
-    ``Member_ID`` is the rank of ``File::Type::Name`` among the distinct ones.
+    ``Member_ID`` is the rank of ``File::Type::Name`` among the distinct ones. A variable's ``ID`` is its place. A model of
+    many rows, so that no task holds all variables, also says in ``first`` which place a row's variables begin at.
     """
-    files = model.select(F.posexplode("variables").alias("ID", "File")).select(F.col("ID").cast("long"), T.clean_path(F.col("File")).alias("File"))
+    first = F.col("first") if "first" in model.columns else F.lit(0)
+    files = model.select(first.alias("first"), F.posexplode("variables").alias("ID", "File")).select((F.col("first") + F.col("ID")).cast("long").alias("ID"), T.clean_path(F.col("File")).alias("File"))
     files = files.groupBy("File").agg(F.max("ID").alias("ID"))  # of equal paths the last counts
     java = language == "java"
     own = files.select("File", "ID", T.path_stem(F.col("File")).alias("Member_Name"), F.lit("file").alias("Member_Type"), (T.java_file_entity(F.col("File")) if java else F.col("File")).alias("Entity"))
@@ -72,7 +75,8 @@ def extract_entities(model: DataFrame, language: str) -> DataFrame:
         member, entity = F.when(F.lower(member) == "java", T.path_stem(F.col("File"))).otherwise(member), T.java_entity(F.col("object"), F.col("Member_Type"))
     else:
         member, entity = T.plain_member(F.col("File"), F.col("object"), F.col("Member_Type")), F.col("File")
-    ends = ends.select("File", member.alias("Member_Name"), "Member_Type", entity.alias("Entity"))
+    # a file is an end of many details: made distinct before anything is joined
+    ends = ends.select("File", member.alias("Member_Name"), "Member_Type", entity.alias("Entity")).distinct()
     rows = own.unionByName(ends.join(files, "File").select(own.columns)).distinct()
     named = rows.withColumn("_key", F.concat_ws("::", "File", F.coalesce("Member_Type", F.lit("None")), "Member_Name"))
     ids = member_ids(named.select("_key").distinct(), "_key")
@@ -92,19 +96,23 @@ def extract_dependencies(model: DataFrame, entities: DataFrame) -> DataFrame:
     known = entities.groupBy("File").agg(F.max("ID").alias("ID"))
     cell = model.select(F.explode("cells").alias("c")).select("c.src", "c.dest", "c.values", F.explode("c.details").alias("d"))
     rows = cell.select("src", "dest", "values", "d", T.clean_path(F.col("d.src.file")).alias("Source_File"), T.clean_path(F.col("d.dest.file")).alias("Target_File")).where("Source_File <> Target_File")
-    rows = rows.join(known.select(F.col("File").alias("Source_File"), F.col("ID").alias("_s")), "Source_File").join(known.select(F.col("File").alias("Target_File"), F.col("ID").alias("_t")), "Target_File")
     dotted = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit(".java"), F.lit("")), F.lit("/"), F.lit("."))
     src, dst, kind = F.col("d.src.object"), F.col("d.dest.object"), F.col("d.type")
     filled = (F.coalesce(src, F.lit("")) != "") & (F.coalesce(dst, F.lit("")) != "")
     member = filled & (dotted(src) != dotted(F.col("Source_File"))) & (dotted(dst) != dotted(F.col("Target_File")))
     named = lambda c: F.when(member, T.last_part(c, ".")).otherwise("")
-    out = rows.select(
-        F.when(member, F.col("src")).otherwise(F.col("_s")).alias("Source_ID"), F.when(member, F.col("dest")).otherwise(F.col("_t")).alias("Target_ID"),
+    # before the lookups, so that they send no objects and counts
+    told = rows.where(~F.coalesce(kind.ilike("%possible%"), F.lit(False))).select(
+        F.when(member, F.col("src")).alias("Source_ID"), F.when(member, F.col("dest")).alias("Target_ID"),
         "Source_File", "Target_File", named(src).alias("Source_Member"), named(dst).alias("Target_Member"),
         F.col("d.src.type").alias("Source_Member_Type"), F.col("d.dest.type").alias("Target_Member_Type"), kind.alias("Dependency_Type"),
         F.coalesce(F.try_element_at("values", kind), F.lit(1)).cast("long").alias("Dependency_Count"), member.alias("Is_Member_Level"),
     )
-    return out.distinct().where(~F.coalesce(F.col("Dependency_Type").ilike("%possible%"), F.lit(False)))
+    for end in ("Source", "Target"):
+        told = told.join(known.select(F.col("File").alias(f"{end}_File"), F.col("ID").alias(f"_{end}")), f"{end}_File")
+        told = told.withColumn(f"{end}_ID", F.when(F.col("Is_Member_Level"), F.col(f"{end}_ID")).otherwise(F.col(f"_{end}"))).drop(f"_{end}")
+        told = materialize(told, "ends") if end == "Source" else told  # so that the names are not in the shuffles of both lookups at once
+    return told.select("Source_ID", "Target_ID", "Source_File", "Target_File", "Source_Member", "Target_Member", "Source_Member_Type", "Target_Member_Type", "Dependency_Type", "Dependency_Count", "Is_Member_Level").distinct()
 
 
 def add_truth_files(entities: DataFrame, truth: DataFrame, language: str) -> DataFrame:
