@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import materialize
+from ..plans.store import discard, materialize
 from .ranks import rank_in_group
 
 
@@ -37,9 +37,11 @@ def random_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
     start = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("r"))
     walks = start.select(F.xxhash64(F.lit(seed), "id", "r").alias("walk"), F.array("id").alias("path"))
     even = p == 1 and q == 1
-    hops = _indexed(edges.select("src", "dst"), ["src"])
-    degree = hops.groupBy("src").agg(F.max("_n").alias("_n"))
-    pairs = edges.select(F.col("src").alias("prev"), F.col("dst").alias("dst"), F.lit(True).alias("near"))
+    # written once: each cut of the lineage would else make the ranks anew
+    hops = materialize(_indexed(edges.select("src", "dst"), ["src"]), "hops")
+    degree = hops.where("_k = 0").select("src", "_n")
+    pairs = hops.select(F.col("src").alias("prev"), F.col("dst").alias("dst"), F.lit(True).alias("near"))
+    made = []
     for step in range(1, length):
         walks = walks.withColumn("src", F.element_at("path", -1))
         if even or step == 1:
@@ -53,7 +55,9 @@ def random_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
             moved = options.groupBy("walk", "path").agg(F.min_by("dst", order).alias("dst"))
         walks = moved.select("walk", F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"))
         if step % cut == 0:
-            walks = materialize(walks, "walks")
+            made.append(materialize(walks, "walks"))
+            walks = made[-1]
+            discard(*made[:-1])
     return walks
 
 
@@ -146,10 +150,13 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
     neighbour counts once. ``vertices`` and ``edges`` may be empty; a walk of a node without edges is that node.
     """
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    hops = rank_in_group(edges, ["src"], ["dst"], "k", "n")
-    sizes = hops.where("k = 0").select(F.col("src").alias("dst"), F.col("n").alias("m"))
+    in_order = rank_in_group(edges, ["src"], ["dst"], "k", "n")
+    ranked = materialize(in_order, "ranked")
+    discard(in_order)
+    sizes = materialize(ranked.where("k = 0").select(F.col("src").alias("dst"), F.col("n").alias("m")), "sizes")
     # each neighbour with the number of its own ones, so a walk knows how many there are where it arrives
-    hops = materialize(hops.join(sizes, "dst", "left").select("src", "k", "dst", F.coalesce("m", F.lit(0)).alias("m")), "hops")
+    hops = materialize(ranked.join(sizes, "dst", "left").select("src", "k", "dst", F.coalesce("m", F.lit(0)).alias("m")), "hops")
+    discard(ranked)
     start = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("r"))
     first = start.join(sizes.withColumnRenamed("dst", "id"), "id", "left")
     now = materialize(first.select(F.xxhash64(F.lit(seed), "id", "r").alias("walk"), F.lit(None).cast("long").alias("prev"), F.col("id").alias("src"), F.coalesce("m", F.lit(0)).alias("n")), "walks")
@@ -170,17 +177,24 @@ def biased_walks(vertices: DataFrame, edges: DataFrame, per_node: int, length: i
             moved.append(picked)
             if even or step == 1:
                 break
-            todo, base = materialize(todo.join(picked.select("walk"), "walk", "left_anti"), "todo"), base + many
-            many = min(2 * many, 256)
+            rest, base = materialize(todo.join(picked.select("walk"), "walk", "left_anti"), "todo"), base + many
+            discard(todo)
+            todo, many = rest, min(2 * many, 256)
             if not todo.limit(1).count():
                 break
+        discard(todo)
         now = reduce(DataFrame.unionByName, moved)
         steps.append(now.select("walk", F.lit(step).alias("step"), F.col("src").alias("node")))
+    discard(edges, hops, sizes)
     # a path has ``length`` nodes at most
     listed = reduce(DataFrame.unionByName, steps).groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("path"))
     return listed.select("walk", F.transform("path", lambda x: x["node"]).alias("path"))
 
 
+#: Edges of a node and relation that stand in one list.
+LISTED = 64
+
+
 def sampled_neighbourhood(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 0) -> DataFrame:
     """Bounded subgraphs of typed graphs for mini-batches: ``batch, hop, src_type, rel, dst_type, src, dst``.
 
@@ -188,21 +202,35 @@ def sampled_neighbourhood(edges: DataFrame, seeds: DataFrame, fanouts: list[int]
     hop before has reached (the seeds at first) up to ``fanouts[h]`` incoming edges of each relation: the edges of a node
     and relation stand in the order of a hash, and a batch takes so many in a row, from a place that a hash of batch and
     node names. A node's edges are all taken if they are no more. So a batch holds at most the seeds times the product of
-    fan-outs and relations, and a hub costs its fan-out: rows meet by (node, relation, rank). Draws depend on the seed,
-    the batch and the ids alone. An edge is listed once a batch and hop; a node reached again is not expanded again.
+    fan-outs and relations. Relations of a node with ``LISTED`` edges at most stand in one row of lists, which a batch that
+    reaches the node meets once; of the others a hub costs its fan-out: rows meet by (node, relation, rank). Draws depend on
+    the seed, the batch and the ids alone. An edge is listed once a batch and hop; a node reached again is not expanded again.
     """
     kinds = ["dst_type", "dst", "src_type", "rel"]
     mixed = edges.distinct().withColumn("h", F.xxhash64(F.lit(seed), *kinds, "src"))
-    ranked = materialize(rank_in_group(mixed, kinds, ["h", "src"], "k", "n").drop("h"), "ranked")
-    groups = materialize(ranked.where("k = 0").select(*kinds, "n"), "groups")
+    in_order = rank_in_group(mixed, kinds, ["h", "src"], "k", "n")
+    ranked = materialize(in_order.drop("h"), "ranked")
+    discard(in_order)
+    dealt = ranked.where(F.col("n") <= LISTED).repartition("dst_type", "dst").groupBy(*kinds).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "src"))), lambda x: x["src"]).alias("srcs"))
+    lists = materialize(dealt.groupBy("dst_type", "dst").agg(F.collect_list(F.struct("src_type", "rel", "srcs")).alias("lists")), "lists")
+    hubs = ranked.where(F.col("n") > LISTED)
+    groups = materialize(hubs.where("k = 0").select(*kinds, "n"), "groups")
     reached = materialize(seeds.select("batch", F.col("type").alias("dst_type"), F.col("id").alias("dst")).distinct(), "reached")
     front, out = reached, []
     for hop, fan in enumerate(fanouts):
-        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(hop), "batch", *kinds), F.col("n"))
-        asked = front.join(groups, ["dst_type", "dst"]).withColumn("at", at)
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(hop), "batch", *kinds), F.col("n")).alias("at")
+        met = front.join(lists, ["dst_type", "dst"]).select("batch", "dst_type", "dst", F.explode("lists").alias("of"))
+        met = met.select("batch", "dst_type", "dst", "of.src_type", "of.rel", "of.srcs", F.size("of.srcs").cast("long").alias("n")).select("*", at)
+        row = F.slice(F.concat("srcs", F.slice("srcs", 1, fan)), F.col("at").cast("int") + 1, F.least(F.lit(fan), F.col("n").cast("int")))
+        met = met.select("batch", F.lit(hop).alias("hop"), "src_type", "rel", "dst_type", F.explode_outer(row).alias("src"), "dst")
+        asked = front.join(groups, ["dst_type", "dst"]).select("*", at)
         asked = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(fan), F.col("n").cast("int")) - 1)))
-        taken = materialize(asked.withColumn("k", (F.col("at") + F.col("k")) % F.col("n")).join(ranked.drop("n"), [*kinds, "k"]).select("batch", F.lit(hop).alias("hop"), "src_type", "rel", "dst_type", "src", "dst"), "hop")
+        taken = asked.withColumn("k", (F.col("at") + F.col("k")) % F.col("n")).join(hubs.drop("n"), [*kinds, "k"]).select("batch", F.lit(hop).alias("hop"), "src_type", "rel", "dst_type", "src", "dst")
+        taken = met.unionByName(taken)
         out.append(taken)
+        if hop == len(fanouts) - 1:  # the largest hop; nothing starts from it, so it is not written before the result is
+            break
+        taken = out[-1] = materialize(taken, "hop")
         front = taken.select("batch", F.col("src_type").alias("dst_type"), F.col("src").alias("dst")).distinct().join(reached, ["batch", "dst_type", "dst"], "left_anti")
         front = materialize(front, "front")
         reached = reached.unionByName(front)

@@ -13,8 +13,8 @@ from ..sources import manifests
 from ..sources.labels import nested_items
 from ..sources.tables import MISSING, read_csv
 from . import fixtures as fx
-from .queries import _rows, _vertices, query
-from .store import shared_path
+from .queries import _graph, _undirected, _vertices, query
+from .store import discard, shared_path
 
 _NONE = ", ".join(f"'{x}'" for x in MISSING)
 
@@ -86,13 +86,16 @@ def widening_append(spark, d):
 
 @query()
 def biased_walks(spark, d):
-    return walks.biased_walks(_vertices(spark, d).select("id"), graphs.undirected(_rows(spark, d)), 1, 6, 0.5, 2.0, seed=1)
+    v, e = _undirected(spark, d)
+    out = walks.biased_walks(v.select("id"), e, 1, 6, 0.5, 2.0, seed=1)
+    discard(e)
+    return out
 
 
 @query()
 def neighbourhood_batches(spark, d):
-    v = _vertices(spark, d)
-    edges = graphs.heterogeneous(v, _rows(spark, d, loops=True), collapse=False)
+    v, rows = _graph(spark, d, loops=True)
+    edges = graphs.heterogeneous(v, rows, collapse=False)
     seeds = v.select(F.floor(F.col("id") / 128).alias("batch"), F.lit("file").alias("type"), "id")
     return walks.sampled_neighbourhood(edges, seeds, [8, 4], seed=1)
 

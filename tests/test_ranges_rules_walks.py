@@ -2,6 +2,7 @@
 
 import csv
 import io
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skein.operators import attention, clustering, diffusion, kernels, ranks, rules, walks
+from skein.operators import attention, clustering, diffusion, kernels, prepare, ranks, rules, walks
+from skein.plans import fixtures as fx
+from skein.plans import store
 from skein.sources import csv_ranges, tables
 
 
@@ -240,3 +243,54 @@ def test_diffusion_by_columns(spark, monkeypatch, kind):
         pushed = rows(diffusion.gdc(vertices, edges, kind, 0.3, 53, 1e-5))
         monkeypatch.setattr(kernels, "DENSE_NODES", 5000)
         assert all(abs(pushed.get(k, 0) - w) < 2e-3 for k, w in rows(diffusion.gdc_exact(vertices, edges, kind, 0.3, 53)).items())
+
+
+def test_neighbourhood_by_lists(spark, tmp_path, monkeypatch):
+    """Lists and ranks give the same edges; the last hop starts nothing, so no front of it is written."""
+    r = random.Random(6)
+    rows = [("file", rel, "file", r.randrange(90), dst) for rel in ("calls", "uses") for dst in (0, 1, *range(20)) for _ in range(40 if dst < 2 else 3)]
+    edges = spark.createDataFrame(rows, "src_type string, rel string, dst_type string, src long, dst long")
+    seeds = spark.createDataFrame([(b, "file", i) for b in range(4) for i in (0, 1, 7 + b)], "batch long, type string, id long")
+    got = []
+    for most in (0, 8, 1000):
+        monkeypatch.setattr(walks, "LISTED", most)
+        names = iter(range(100))
+        monkeypatch.setattr(store, "shared_path", lambda spark, tag, at=tmp_path / str(most), names=names: f"{at}/{tag}-{next(names)}")
+        got.append(sorted(map(tuple, walks.sampled_neighbourhood(edges, seeds, [5, 3], seed=2).collect())))
+        assert sum(x.name.startswith(("front-", "hop-")) for x in (tmp_path / str(most)).iterdir()) == 2
+    assert got[0] == got[1] == got[2] and len(got[0]) > 60
+
+
+def _shuffles(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    before = _shuffles(spark)
+    made = store.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    assert _shuffles(spark) <= before and made.count() == 7 and spark.conf.get(store.CLEANED) == "false"
+    path = made._skein_path
+    store.discard(made)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_pairs_send_items_once(spark, tmp_path):
+    """The window pairs as the view's join does, with null keys and a null part, and the items are sent once."""
+    rows = [(1, 5, 1, 1, 2, 1.0, "R"), (1, 6, 1, 2, 3, 1.0, "A"), (1, None, 1, 3, 4, 1.0, "N"), (1, 5, 1, 4, 1, 1.0, "R"), (1, 6, 1, 5, 9, 1.0, "R"), (None, 5, 1, 1, 2, 1.0, "R"), (None, 6, 1, 2, 2, 1.0, "R"), (2, 7, 1, 1, 2, 1.0, None)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity int, l_extendedprice double, l_returnflag string")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = fx.pairs(spark, str(tmp_path))
+    want = spark.sql(fx.VIEWS["fx_pairs"].replace("from lineitem", "from {lineitem}"), lineitem=items)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
+
+
+def test_model_of_many_rows(spark):
+    """Variables that stand in several rows get the ids of one row."""
+    kind = "variables array<string>, first long, cells array<struct<src:long,dest:long,values:map<string,long>,details:array<struct<type:string,src:struct<file:string,object:string,type:string>,dest:struct<file:string,object:string,type:string>>>>>"
+    names = [f"a/F{k}.java" for k in range(7)]
+    one = prepare.extract_entities(spark.createDataFrame([(names, 0, None)], kind).drop("first"), "java")
+    many = prepare.extract_entities(spark.createDataFrame([(names[:3], 0, None), (names[3:6], 3, None), (names[6:], 6, None)], kind), "java")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(one.columns).collect()))
+    assert {x["ID"] for x in many.collect()} == set(range(7))
