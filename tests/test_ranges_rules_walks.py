@@ -294,3 +294,45 @@ def test_model_of_many_rows(spark):
     many = prepare.extract_entities(spark.createDataFrame([(names[:3], 0, None), (names[3:6], 3, None), (names[6:], 6, None)], kind), "java")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(one.columns).collect()))
     assert {x["ID"] for x in many.collect()} == set(range(7))
+
+
+def test_diffusion_by_source(spark, monkeypatch):
+    """Tasks that hold the neighbour lists and joins over blocks of sources give the rows of the plain joins."""
+    r = random.Random(12)
+    pairs = {tuple(sorted((r.randrange(60), r.randrange(60)))) for _ in range(150)} | {(0, k) for k in range(1, 40)}
+    v = spark.range(62)  # two without edges
+    e = spark.createDataFrame([x for a, b in pairs if a != b for x in ((a, b), (b, a))], "src long, dst long").cache()
+    rows = lambda df: {(x["source"], x["node"]): x["p"] for x in df.collect()}
+    walked = rows(diffusion.top_k(diffusion.ppr(v, e), 5))
+    pushed = rows(diffusion.top_k(diffusion.symmetric(diffusion.push(v, e, 0.15, 0.05), v, e), 5))
+    for sent in (10_000, 0):
+        monkeypatch.setattr(diffusion, "SENT_LISTS", sent)
+        monkeypatch.setattr(diffusion, "AT_ONCE", 40)
+        assert rows(diffusion.ppr_top(v, e, 5)) == pytest.approx(walked, abs=1e-12)
+        assert rows(diffusion._pushed_top(v, e, 0.15, 0.05, 5)) == pytest.approx(pushed, abs=1e-12)
+    assert rows(diffusion.ppr(v, e, rounds=2, sources=v.where("id % 20 = 0"))) == pytest.approx({k: p for k, p in rows(diffusion.ppr(v, e, rounds=2)).items() if k[0] % 20 == 0}, abs=1e-12)
+
+
+def test_silhouette_by_blocks(spark, monkeypatch):
+    """Pairs of blocks give the silhouette of one group, also with a point alone in its cluster."""
+    rng = np.random.default_rng(3)
+    x, label = rng.standard_normal((150, 6)), [k % 4 for k in range(149)] + [9]
+    x[::4] += 3
+    df = spark.createDataFrame([(k, row.tolist(), lab) for k, (row, lab) in enumerate(zip(x, label, strict=True))], "id long, embedding array<float>, label int")
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    monkeypatch.setattr(clustering, "BLOCKS", 3)
+    assert clustering.silhouette(df, sample=None).first()[0] == pytest.approx(kernels.silhouette(x.astype(np.float32), np.array(label)), abs=1e-9)
+
+
+def test_search_of_dealt_rows(spark, monkeypatch):
+    """A large system's k is that of the same sample, and its rows are dealt."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(8 * c, 0.3, (30, 3)) for c in range(3)])
+    df = spark.createDataFrame([("a", k, row.tolist()) for k, row in enumerate(x)], "dataset string, id long, embedding array<double>")
+    monkeypatch.setattr(clustering, "SAMPLE", 40)
+    k, score = clustering.search_k(x, 2, 4, "kmeans", 1)
+    monkeypatch.setattr(clustering, "LARGE", 50)
+    out = clustering.cluster(df, "kmeans", None, 2, 4, seed=1)
+    rows = out.collect()
+    assert {(r["k"], r["silhouette"]) for r in rows} == {(k, score)} and k == 3
+    assert len(rows) == 90 and len({(r["id"] // 30, r["cluster"]) for r in rows}) == 3
